@@ -23,12 +23,45 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewatch.llm import secrets
+
+    return secrets.digests(table(spark, sf_dir, "documents"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewatch.llm import quality
+
+    return quality.rate(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewatch.llm import chat
+
+    said = "<|im_end|><|im_start|>assistant ok"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.sql("select -1L as conv_id, turn, role, text from values (0L, 'user'), (1L, 'assistant') as t(turn, role) cross join values ('" + said + "') as s(text)")
+    return chat.digests(chat.format_turns(rows.unionByName(added)))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewatch.llm import token_files
 
     return token_files.token_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewatch.llm import html
+
+    return html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewatch.llm import mixing
+
+    return mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
