@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: Tokens of one 28-pixel patch row or column, of a second of sound, of a page.
@@ -122,7 +123,7 @@ def loss_spans(formatted: str, trained: str = "assistant") -> list[tuple[int, in
     return out
 
 
-TURN_SCHEMA = "conv long, turn long, formatted string, mask array<struct<start:int,end:int>>, attachments array<struct<kind:string,ref:string,tokens:long,place:int>>, n_extra_tokens long"
+TURN_COLUMNS = "role_key string, formatted string, mask array<struct<start:int,end:int>>, attachments array<struct<kind:string,ref:string,tokens:long,place:int>>, extra_tokens long"
 
 
 def format_turns(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", content: str = "text", parts: bool = False) -> DataFrame:
@@ -132,8 +133,7 @@ def format_turns(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     Mask places are within the row. Rows need no others, so no conversation is gathered.
     """
     schema = df.select(F.col(conv).alias("conv"), F.col(turn).alias("turn")).schema
-    for name, kind in (("role_key", "string"), ("formatted", "string"), ("mask", "array<struct<start:int,end:int>>"), ("attachments", "array<struct<kind:string,ref:string,tokens:long,place:int>>"), ("extra_tokens", "long")):
-        schema = schema.add(name, kind)
+    schema = T.StructType([*schema, *T.DataType.fromDDL(TURN_COLUMNS)])
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     attached = pa.list_(pa.struct([("kind", pa.string()), ("ref", pa.string()), ("tokens", pa.int64()), ("place", pa.int32())]))
 
