@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Odd multiplier of the polynomial and its inverse modulo 2**64.
@@ -74,7 +75,7 @@ class RollingHash:
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive rows whose texts hold about `limit` bytes; a longer text goes alone."""
     at = batch.schema.get_field_index(column)
-    lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0))
+    lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(at)), 0))
     ends = np.cumsum(lengths, dtype=np.int64)
     start = 0
     while start < len(lengths):
@@ -87,7 +88,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts in a row (null: empty), and len + 1 offsets into them."""
     if column.null_count:
-        column = pa.compute.fill_null(column, "")
+        column = pc.fill_null(column, "")
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     off = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = column.buffers()[2]

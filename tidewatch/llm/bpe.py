@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tidewatch.llm.arrays import RollingHash, U64, mix, slices, spread
@@ -206,7 +207,7 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", into: str = "decode
                 part = batch.slice(at, 256)
                 column = pa.array([x or [] for x in part.column(ids).to_pylist()], pa.list_(pa.int32())) if part.column(ids).null_count else part.column(ids)
                 flat = column.flatten().to_numpy(zero_copy_only=False)
-                offsets = np.append(0, np.cumsum(np.asarray(pa.compute.list_value_length(column))))
+                offsets = np.append(0, np.cumsum(np.asarray(pc.list_value_length(column))))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(decoder.texts(flat, offsets), pa.binary())], [*keep, into])
 
     return df.select(*keep).mapInArrow(run, schema)

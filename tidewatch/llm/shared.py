@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,5 +32,14 @@ def cut(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame, kind: str) -> DataFrame:
     """Like cut(), as Parquet: smaller on disk than a checkpoint's rows, and columns can be pruned."""
     path = new_folder(df.sparkSession, kind)
+    spark, schema = df.sparkSession, df.schema
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    del df
+    release(spark)
+    return spark.read.schema(schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more; it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
