@@ -44,6 +44,18 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_turns(rows.unionByName(added)))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewatch.llm import suffixes
+
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents")).drop("removed")
+
+
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewatch.llm import jaccard
+
+    return jaccard.join_result(table(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewatch.llm import token_files
 
