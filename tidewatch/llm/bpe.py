@@ -19,6 +19,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from tidewatch.llm.arrays import RollingHash, U64, mix, slices, spread
 from tidewatch.llm.pretokens import WordTable
@@ -182,7 +183,7 @@ def encode(df: DataFrame, ranks_path: str, text: str = "text", into: str = "ids"
     A word (match of the pattern) may have up to 1,048,575 bytes.
     """
     keep = [c for c in df.columns if c != into]
-    schema = df.select(*keep).schema.add(into, "array<int>")
+    schema = df.select(*keep).schema.add(into, T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, table, _ = held(ranks_path)
