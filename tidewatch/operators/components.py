@@ -68,5 +68,5 @@ def connected_components(links: DataFrame, task_links: int = TASK_LINKS) -> Data
     between = stored(between, "root-links")
     if between.isEmpty():
         return stored(least, "components")
-    top = connected_components(between, task_links).withColumnsRenamed({"node": "root", "root": "top"})
+    top = connected_components(between, task_links).select(F.col("node").alias("root"), F.col("root").alias("top"))
     return stored(least.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "components")

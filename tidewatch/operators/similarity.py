@@ -158,9 +158,21 @@ def cosine_pairs(df: DataFrame, threshold: float, key: str = "vec_id", vector: s
 
 
 @F.pandas_udf(T.DoubleType())
-def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Ratcliff and Obershelp's ratio, which depends on the order of its arguments."""
-    return pd.Series([0.0 if not a or not b else difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() for a, b in zip(left, right, strict=True)], dtype=float)
+def lexical(left: pd.Series, right: pd.Series, dice: pd.Series) -> pd.Series:
+    """The greater of Dice and Ratcliff and Obershelp's ratio, which depends on the order of its arguments.
+
+    The ratio is quadratic in length, so it is only taken where its bound by letters exceeds Dice.
+    """
+
+    def one(a: str, b: str, known: float) -> float:
+        if a == b and a:
+            return 1.0
+        match = difflib.SequenceMatcher(None, a, b, autojunk=False)
+        if not a or not b or match.real_quick_ratio() <= known or match.quick_ratio() <= known:
+            return known
+        return max(known, match.ratio())
+
+    return pd.Series([one(*x) for x in zip(left, right, dice, strict=True)], dtype=float)
 
 
 def admitted(lexical: Column, semantic: Column, short: Column, equal: Column, copies: Column, least_copies: int = 3, lexical_at: float = 0.85, semantic_at: float = 0.92) -> Column:

@@ -114,7 +114,7 @@ def ratio_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = sim.dice_pairs(rows, 0.98)
     texts = rows.select("review_id", "normalized")
     pairs = pairs.join(texts.toDF("left_id", "left"), "left_id").join(texts.toDF("right_id", "right"), "right_id")
-    return pairs.repartition("left_id", "right_id").select("left_id", "right_id", F.round(F.greatest("dice", sim.ratio("right", "left")), 6).alias("lexical"))
+    return pairs.repartition("left_id", "right_id").select("left_id", "right_id", F.round(sim.lexical("right", "left", "dice"), 6).alias("lexical"))
 
 
 @query(
