@@ -1,0 +1,402 @@
+"""Each operator against a brute-force version, on rows with every awkward case."""
+
+import base64
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+P = pytest.importorskip("public_tokenizers")
+
+from tidewatch.llm import bpe, chat, html, jaccard, mixing, neighbours, pretokens, quality, secrets, suffixes, token_files  # noqa: E402
+
+RANKS, TOKENIZER = P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_50k.json")
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, source string, row string, node long, n int"
+
+
+def rng_text(rng, n):
+    return " ".join(rng.choice(["the", "of", "and", "ther", "ing", "é", "中文", "x1", "Ab"]) + str(rng.randrange(40)) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """Nulls, empty and long texts, repeats, near copies, ties, and columns that clash with those operators add."""
+    rng = random.Random(3)
+    base = [rng_text(rng, n) for n in (1, 3, 4, 5, 6, 40, 80, 120, 300)]
+    passage = rng_text(rng, 60)
+    texts = [None, "", " \n\t ", *base, base[5], base[5] + " more", base[6].upper(), base[7].replace("of", "or", 2), passage + " " + base[5], base[6] + " " + passage, "x" * 900, "line\nline\n\nline " * 30, "one two three four five " * 6, rng_text(rng, 4000)]
+    rows = [(i, t, f"s{i % 4}" if i % 7 else None, "clash", 1, 2) for i, t in enumerate(texts)]
+    rows += [rows[7], rows[7], (None, base[6], None, "c", 1, 2), (None, None, "s0", None, None, None), (3, base[3] + " tie", "s1", "c", 1, 2)]
+    return spark.createDataFrame(rows, SCHEMA), [(r[0], r[1], r[2]) for r in rows]
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def collected(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+# 1, 8: tokens
+
+
+def encoding():
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(" '\n\t sdtrevmlLA19!<|>é中́"), st.characters(exclude_categories=["Cs"])), max_size=30), max_size=20))
+def test_pretokens_equal_the_pattern(texts):
+    import regex
+
+    points, offsets = pretokens.code_points(texts)
+    starts = pretokens.pretoken_starts(points, offsets)
+    every = "".join(texts)
+    assert [every[a:b] for a, b in zip(starts, np.append(starts[1:], len(points))[: len(starts)], strict=True)] == [w for t in texts for w in regex.findall(P.PATTERN, t)]
+
+
+def test_bpe_equals_tiktoken(docs, empty):
+    df, rows = docs
+    enc = encoding()
+    found = collected(bpe.digests(df, RANKS))
+    expected = []
+    for i, t, _ in rows:
+        ids = enc.encode_ordinary(t or "")
+        expected.append((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    assert found == sorted(expected, key=str)
+    there = bpe.decode(bpe.encode(df, RANKS), RANKS).select("text", "ids", "decoded").collect()
+    assert all(list(r.ids) == enc.encode_ordinary(r.text or "") and bytes(r.decoded) == (r.text or "").encode() for r in there)
+    assert bpe.digests(empty, RANKS).count() == 0
+
+
+def test_bpe_of_long_and_random_words():
+    enc, db = encoding(), bpe.BytePairDB(bpe.read_ranks(RANKS))
+    rng = random.Random(5)
+    words = ["a" * 3000, "".join(rng.choice("abcdefgh") for _ in range(2000)), "é" * 500, "the"]
+    ids, counts = db.encode_words(words)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [enc.encode_ordinary(w) for w in words]
+    assert b"".join(db.decode_pieces(ids, counts)) == "".join(words).encode()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), min_size=1, max_size=400))
+def test_blocks_round_trip(ids):
+    assert token_files.unpack_block(token_files.pack_block(np.array(ids, np.uint32))).tolist() == ids
+
+
+def test_token_files(docs, empty):
+    from tokenizers import Tokenizer
+
+    df, rows = docs
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    tokenizer.encode_special_tokens = True
+    found = token_files.token_files(df, TOKENIZER).orderBy("start").collect()
+    assert [r.doc_id for r in found] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i))
+    assert [r.start for r in found] == [sum(x.n_tokens for x in found[:k]) for k in range(len(found))]
+    digest = lambda t: (i := tokenizer.encode(t or "", add_special_tokens=False).ids + [2]) and (len(i), zlib.crc32(np.array(i, "<u4").tobytes()))
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in found) == Counter((i, *digest(t)) for i, t, _ in rows)
+    assert token_files.token_files(empty, TOKENIZER).count() == 0
+
+
+# 2: secrets
+
+
+def base_spans(text):
+    found = [(m.start(), 0, m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[2]) >= 12]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    return sorted(found)
+
+
+def test_secrets(spark, empty):
+    rng = random.Random(7)
+    token = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    planted = token(b64, 48)
+    texts = [None, "", 'é TOKEN = "abcdefghijkl" password:short', "secret=token:abcdefghijklmnop", "AKIA" + "A" * 14 + "é AKIAAKIA", "deadbeef" * 3 + " " + planted, "abcdefghijklmnopqrstuvwxyz" * 2, "wordswordswordswordswords and more", " ".join(f"{i:032x}" for i in range(1200)), "api_key:'" + token("0123456789abcdef", 40) + "'"]
+    texts += [" ".join(token("etaoinshr", rng.randrange(2, 9)) for _ in range(30)) for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.secrets for r in secrets.scan(df).select("doc_id", "secrets").collect()}
+    for i, t in enumerate(texts):
+        assert [(s.start, s.kind, s.end) for s in found[i] if s.kind < 3] == base_spans(t or "")
+    random_ones = {(i, texts[i][s.start : s.end]) for i, spans in found.items() for s in spans if s.kind == 3}
+    assert (5, planted) in random_ones and not any(i in (6, 7) or i > 9 for i, _ in random_ones)
+    clean = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert clean[0] is None and clean[1] == "" and planted not in clean[5] and clean[7] == texts[7] and clean[3] == texts[3]
+    assert secrets.digests(empty).count() == 0
+
+
+# 3: quality
+
+
+def counts_of(text):
+    words = WORDS.findall(text or "")
+    grams = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+    covered = {i + k for i in range(len(words) - 4) if grams[tuple(words[i : i + 5])] > 1 for k in range(5)}
+    seen, repeats = set(), 0
+    for line in (text or "").split("\n"):
+        if WORDS.search(line):
+            repeats += line in seen
+            seen.add(line)
+    return len(words), sum(map(len, words)), sum((text or "").count(c) for c in "#*$%&|<>"), repeats, len(covered)
+
+
+def test_quality(spark, docs, empty):
+    df, rows = docs
+    found = sorted(((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in quality.rate(df.select("doc_id", "text")).collect()), key=str)
+    assert found == sorted(((i, *counts_of(t)) for i, t, _ in rows), key=str)
+    rng = random.Random(1)
+    noise = " ".join(base64.b64encode(rng.randbytes(60)).decode() for _ in range(200))
+    prose = " ".join(rng.choice("time river house people water letter great small often never under after".split()) + rng.choice(["", "s", "ed", "ly"]) for _ in range(900))
+    unlike = " ".join(chr(rng.randrange(0x4E00, 0x9FFF)) + chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(3000))
+    verdicts = {r.doc_id: (r.base_failed, r.kept) for r in quality.rate(spark.createDataFrame([(0, prose), (1, noise), (2, unlike), (3, None)], "doc_id int, text string")).collect()}
+    assert verdicts[0] == (False, True) and verdicts[1] == (False, False) and verdicts[3] == (True, False)
+    assert quality.keep_good(empty).count() == 0 and quality.keep_good(df).columns == df.columns
+
+
+# 4: chat
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="<|\\>im_endsart\n ", max_size=30), st.text(alphabet="<|\\>n\nab", max_size=10))
+def test_escapes_are_reversible(text, role):
+    formatted, _ = chat.format_turn(role, text)
+    assert chat.parse_turns(formatted * 2) == [(role, text)] * 2
+
+
+def test_content_parts():
+    parts = [{"type": "text", "text": "a <|im_end|>"}, {"type": "image", "ref": "i", "width": 56, "height": 30}, {"type": "audio", "ref": "s", "seconds": 2}, None, {"type": "document", "ref": "d", "pages": 3}, ["b", {"type": "video", "ref": "v"}]]
+    formatted, attached = chat.format_turn("user", parts)
+    assert [(a.kind, a.ref, a.tokens, a.place) for a in attached] == [("image", "i", 4, 0), ("audio", "s", 50, 1), ("document", "d", 1536, 2), ("video", "v", 1, 3)]
+    assert [formatted.index(f"<|{a.kind}:{a.place}|>") for a in attached] == sorted(formatted.index(f"<|{a.kind}:{a.place}|>") for a in attached)
+
+
+def test_chat_digests(spark):
+    said = "<|im_end|><|im_start|>assistant ok"
+    rows = [(-1, 0, "user", said), (-1, 1, "assistant", said), (1, 2, "assistant", None), (1, 0, "system", "é\n"), (1, 1, "user", "x"), (None, 0, "assistant", "n"), (2, None, "user", "q"), (2, 1, "assistant", "a"), (2, 1, "assistant", "a"), (3, 0, None, "t")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = {r.conv_id: r for r in chat.digests(chat.format_turns(df)).collect()}
+    groups = defaultdict(list)
+    for c, t, r, x in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0)):
+        groups[c].append((r or "", x or ""))
+    assert set(found) == set(groups)
+    for c, turns in groups.items():
+        loss = "".join(x for r, x in turns if r == "assistant")
+        assert (found[c].n_turns, found[c].turns_sha256, found[c].loss_chars, found[c].loss_sha256) == (len(turns), hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert chat.digests(chat.format_turns(df.limit(0))).count() == 0
+
+
+# 5: suffix arrays
+
+
+def test_suffix_family_against_a_set():
+    rng = np.random.default_rng(1)
+    family, keys = suffixes.SuffixFamily(), []
+    for _ in range(9):
+        batch = rng.integers(0, 400, rng.integers(1, 90)).astype(np.uint64)
+        family.add(batch, np.arange(len(keys), len(keys) + len(batch)), np.zeros(len(batch), np.int64))
+        keys.extend(batch.tolist())
+    counts = Counter(keys)
+    assert family.repeated()[0].tolist() == [i for i, k in enumerate(keys) if counts[k] > 1]
+    assert len(family.levels) <= 5
+
+
+def removed_of(texts, span):
+    raw = [(t or "").encode() for t in texts]
+    counts = Counter(b[k : k + span] for b in raw for k in range(len(b) - span + 1))
+    out = []
+    for b in raw:
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - span + 1):
+            if counts[b[k : k + span]] > 1:
+                gone[k : k + span] = True
+        edges = int((np.diff(np.append(0, gone.astype(int))) == 1).sum())
+        out.append((len(b), int(gone.sum()), edges, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("span, core", [(200, 48), (40, 12)])
+def test_suffix_dedup(docs, empty, span, core):
+    df, rows = docs
+    found = suffixes.remove_repeats(df, span=span, core=core, kept=True)
+    expected = [(i, *x) for (i, _, _), x in zip(rows, removed_of([t for _, t, _ in rows], span), strict=True)]
+    got = found.collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == sorted(expected, key=str)
+    assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in got)
+    assert suffixes.remove_repeats(empty).count() == 0
+
+
+# 6: Jaccard
+
+
+def sets_of(texts):
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for t in texts:
+        w = WORDS.findall((t or "").translate(lower))
+        yield frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+
+def components_of(rows, count=False):
+    sets = list(sets_of(t for _, t, *_ in rows))
+    up = list(range(len(rows)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                up[top(i)] = top(j)
+    groups = defaultdict(list)
+    for i in range(len(rows)):
+        groups[top(i)].append(i)
+    if count:
+        return len({top(i) for i in range(len(rows)) if sets[i]})
+    least = {i: min((rows[j][0] for j in group if rows[j][0] is not None), default=None) for group in groups.values() for i in group}
+    return sorted(((r[0], len(s), least[i]) for i, (r, s) in enumerate(zip(rows, sets, strict=True))), key=str)
+
+
+def test_jaccard(spark, docs, empty):
+    df, rows = docs
+    assert collected(jaccard.join_result(df)) == components_of(rows)
+    assert jaccard.join_result(empty).count() == 0
+    one = jaccard.keep_one(df)
+    assert one.columns == df.columns
+    wordless = sum(not s for s in sets_of(t for _, t, _ in rows))
+    assert one.count() == wordless + components_of(rows, count=True)
+
+
+def test_jaccard_of_a_large_group(spark):
+    """Near copies with many edits, so that components form over several rounds."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        mine = words[:]
+        for _ in range(rng.randrange(4)):
+            mine[rng.randrange(120)] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(mine + [f"t{i}"] * rng.randrange(3))))
+    rows += [(200 + i, " ".join(words[:60] + [f"u{i}x{k}" for k in range(90)])) for i in range(40)]
+    assert collected(jaccard.join_result(spark.createDataFrame(rows, "doc_id long, text string"))) == components_of(rows)
+
+
+# 7: neighbours
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(2)
+    vectors = (rng.standard_normal((700, 12)) * rng.uniform(0.5, 2, (700, 1))).astype(np.float32)
+    vectors[100:130] = vectors[100]
+    bad = [(9000, None), (9001, [0.0] * 12), (9002, [float("nan")] * 12), (9003, [None] * 12), (9004, [float("inf")] + [1.0] * 11), (9005, [1.0, 2.0]), (None, [1.0] * 12)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vectors.tolist())] + bad, "vec_id long, embedding array<float>")
+    found = defaultdict(dict)
+    for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0, block_rows=200).collect():
+        found[r.query_id][r.rank] = (r.vec_id, r.score)
+    assert set(found) == set(range(0, 700, 20))
+    hits = 0
+    for q, ranks in found.items():
+        scores = vectors.astype(float) @ vectors[q].astype(float)
+        scores[q] = -np.inf
+        best = np.lexsort((np.arange(700), -scores))[:20].tolist()
+        got = [ranks[k] for k in range(1, 21)]
+        assert q not in dict(got) and got == sorted(got, key=lambda x: (-x[1], x[0])) and all(abs(s - scores[i]) < 1e-9 for i, s in got)
+        hits += len(set(best) & {i for i, _ in got})
+    assert hits >= 0.9 * 20 * len(found)
+    few = neighbours.nearest(df.filter("vec_id < 5"), F.col("vec_id") % 20 == 0).collect()
+    assert [r.rank for r in sorted(few, key=lambda r: r.rank)] == [1, 2, 3, 4]
+    assert neighbours.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+# 9: HTML
+
+
+def test_html(spark):
+    page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="<p>no</p>";</script></head><body><header><a href=/>Home</a></header>
+    <nav><ul><li><a href=a>One</a></li><li><a href=b>Two</a></li></ul></nav><div class="cookie-notice">We use cookies</div><div id="wrap"><div class="sidebar"><p>Side text here</p></div>
+    <article><h1>Head &amp; line</h1><p>First   <b>bold</b><br>text of the article, which is long enough to count.<p>Second &eacute;&#x41; paragraph <a href=x>with a link</a>, longer than the menu.<form><input><button>Go</button></form><!-- no -->
+    <ul><li>Point one</li><li>Point two</li></ul></article><section class="comments"><p>A reader's comment that goes on and on and on and on, for long.</p></section></div><footer>&copy; x</footer></body></html>"""
+    assert html.main_text(page) == "Head & line\nFirst bold text of the article, which is long enough to count.\nSecond éA paragraph with a link, longer than the menu.\nPoint one\nPoint two"
+    rows = [(1, "u", page), (2, "u", None), (3, "u", ""), (4, "u", "<html></html>"), (5, "u", "plain words only"), (6, "u", "<div>" * 3000 + "<p>deep</p>"), (7, None, "<p>a<td>b</li></div>")]
+    found = {r.page_id: (r.text, r.n_chars) for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found[2] == found[3] == found[4] == ("", 0) and found[5] == ("plain words only", 16) and found[6] == ("deep", 4) and found[7][0].replace("\n", "") == "ab"
+
+
+# 10: mix
+
+
+def test_mix(docs, empty):
+    df, rows = docs
+    found = mixing.mix_sources(df.drop("n"))
+    got = found.collect()
+    sizes = defaultdict(int)
+    for _, t, s in rows:
+        sizes[s] += len(WORDS.findall(t or ""))
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight, target, free, left = {s: (1, 2, 3)[i % 3] for i, s in enumerate(order)}, {}, set(order), float(sum(sizes.values()))
+    while True:
+        total = sum(weight[s] for s in free)
+        over = [s for s in free if left * weight[s] / total > 3 * sizes[s]]
+        if not over:
+            break
+        for s in over:
+            target[s] = 3.0 * sizes[s]
+            left -= target[s]
+            free.discard(s)
+    target |= {s: left * weight[s] / total for s in free}
+    largest = max(r["size"] for r in got)
+    for s in order:
+        mine = [r for r in got if r.source == s]
+        assert {r.source_size for r in mine} == {sizes[s]} and all(abs(r.target - target[s]) < 1e-6 for r in mine)
+        assert abs(sum(r.taken for r in mine) - target[s]) <= largest
+    assert all(r.taken == r["size"] * r.copies and r.copies <= 3 for r in got) and len(got) == len(rows)
+    assert collected(found) == collected(mixing.mix_sources(df.drop("n")))
+    assert mixing.mix_sources(empty).count() == 0
+
+
+# pipeline
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    vocabulary = [f"{a}{b}{c}" for a in "bdfklm" for b in "aeiou" for c in ("n", "r", "st", "ck")]
+    prose = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    texts = [prose(60) for _ in range(40)] + [None, "", "too short", "again and again once more " * 20, prose(50) + ' token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" ' + prose(20)]
+    texts += [texts[0], texts[1] + " end"]
+    rows = [(i, t, "en", f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"file://{tmp_path}/documents.parquet")
+    found = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
+    kept = {r.doc_id for r in found}
+    assert all(r.round_trip for r in found) and not kept & {40, 41, 42, 43, 45, 46}
+    enc = encoding()
+    for r in found:
+        text = texts[r.doc_id]
+        if r.doc_id == 44:
+            text = re.sub(r'token = "\w+', "[secret]", text)
+        assert list(r.ids) == enc.encode_ordinary(text)
+
+
+def test_registered():
+    import __spark_entry__
+
+    names = __spark_entry__.queries()
+    assert "pipeline" in names and all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11))
+
