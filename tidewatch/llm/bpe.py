@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tidewatch.llm.arrays import RollingHash, U64, mix, slices, spread
+from tidewatch.llm.arrays import RollingHash, U64, mix, slices, spread, tidy
 from tidewatch.llm.pretokens import WordTable
 
 ENCODE = """
@@ -54,7 +54,7 @@ from ids join vocabulary using (tok) group by chunk order by chunk
 #: Ids that one ordered aggregate of the decoding query joins.
 CHUNK_IDS = 4096
 #: Rows of a recursive query's first step, and the longest word in bytes that its positions can hold.
-QUERY_ROWS, WORD_BYTES = 1 << 20, (1 << 20) - 1
+QUERY_ROWS, WORD_BYTES = 1 << 18, (1 << 20) - 1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -66,7 +66,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class BytePairDB:
     """The tables of one vocabulary, and both queries over them."""
 
-    def __init__(self, ranks: dict[bytes, int], memory: str = "600MB"):
+    def __init__(self, ranks: dict[bytes, int], memory: str = "400MB"):
         import duckdb
 
         self.ranks = ranks
@@ -127,11 +127,10 @@ class BytePairDB:
 
 
 class Decoder:
-    """Bytes of id sequences. They are cut before each token that opens with white space; each distinct piece is decoded once."""
+    """Bytes of id sequences. They are cut before each token that opens with white space; each distinct piece of a call is decoded once."""
 
-    def __init__(self, db: BytePairDB, limit: int = 1_000_000):
-        self.db, self.limit = db, limit
-        self.known: dict[int, bytes] = {}
+    def __init__(self, db: BytePairDB):
+        self.db = db
         self.symbols = mix(np.arange(1, len(db.opens) + 1, dtype=U64) * U64(0xA24BAED4963EE407))
 
     def texts(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
@@ -142,20 +141,12 @@ class Decoder:
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(ids))
         code, distinct = pd.factorize(RollingHash(self.symbols[ids]).of(starts, ends))
-        if len(self.known) + len(distinct) > self.limit:
-            self.known.clear()
-        keys = distinct.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
-        if new:
-            sample = np.empty(len(distinct), np.int64)
-            sample[code[::-1]] = np.arange(len(code) - 1, -1, -1)
-            at = sample[new]
-            counts = ends[at] - starts[at]
-            for i, raw in zip(new, self.db.decode_pieces(ids[spread(starts[at], counts)], counts), strict=True):
-                self.known[keys[i]] = raw
-        pieces = np.empty(len(keys), object)
-        pieces[:] = [self.known[k] for k in keys]
-        pieces = pieces[code].tolist()
+        sample = np.empty(len(distinct), np.int64)
+        sample[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+        counts = ends[sample] - starts[sample]
+        known = np.empty(len(distinct), object)
+        known[:] = self.db.decode_pieces(ids[spread(starts[sample], counts)], counts)
+        pieces = known[code].tolist()
         first = np.searchsorted(starts, offsets).tolist()
         return [b"".join(pieces[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
 
@@ -193,7 +184,7 @@ def encode(df: DataFrame, ranks_path: str, text: str = "text", into: str = "ids"
                 array = pa.ListArray.from_arrays(offsets.astype(np.int32), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), array], [*keep, into])
 
-    return df.select(*keep).mapInArrow(run, schema)
+    return df.select(*keep).mapInArrow(tidy(run), schema)
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -211,7 +202,7 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", into: str = "decode
                 offsets = np.append(0, np.cumsum(np.asarray(pc.list_value_length(column))))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(decoder.texts(flat, offsets), pa.binary())], [*keep, into])
 
-    return df.select(*keep).mapInArrow(run, schema)
+    return df.select(*keep).mapInArrow(tidy(run), schema)
 
 
 def digests(df: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -229,4 +220,4 @@ def digests(df: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "te
                 decoded_sha = [hashlib.sha256(x).hexdigest() for x in decoder.texts(ids, offsets)]
                 yield pa.RecordBatch.from_arrays([part.column(key), pa.array(np.diff(offsets), pa.int64()), pa.array(ids_sha), pa.array(decoded_sha)], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return df.select(key, text).mapInArrow(run, schema)
+    return df.select(key, text).mapInArrow(tidy(run), schema)

@@ -91,7 +91,7 @@ class WordTable:
     It is emptied once it holds `limit` words, so a worker's memory stays bounded.
     """
 
-    def __init__(self, encode, limit: int = 1_500_000):
+    def __init__(self, encode, limit: int = 800_000):
         self.encode, self.limit = encode, limit
         self.clear()
 
@@ -116,7 +116,7 @@ class WordTable:
         """The row of each word of the batch, and len + 1 offsets of the texts into them."""
         points, offsets = code_points(texts)
         starts = pretoken_starts(points, offsets)
-        ends = np.append(starts[1:], len(points))
+        ends = np.append(starts[1:], len(points))[: len(starts)]
         hashes = RollingHash(point_hashes()[points]).of(starts, ends)
         code, distinct = pd.factorize(hashes)
         row = self.lookup(distinct)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.arrays import U64, RollingHash, byte_table, mix, slices, space_words, utf8
+from tidewatch.llm.arrays import RollingHash, U64, byte_table, mix, slices, space_words, tidy, utf8
 
 #: (least bytes, least ratio, greatest ratio) of a text or chunk; shorter ones are not judged.
 BANDS = ((200, 0.20, 1.02), (500, 0.18, 0.92), (1000, 0.16, 0.86), (2000, 0.14, 0.80), (4000, 0.12, 0.76), (16000, 0.10, 0.74))
@@ -114,7 +114,7 @@ def rate(df: DataFrame, text: str = "text", prefix: str = "", bands=BANDS) -> Da
                 found = judged(part, text, compressor, bands)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array(found[c]) for c in COLUMNS)], [*keep, *(prefix + c for c in COLUMNS)])
 
-    return df.select(*keep).mapInArrow(run, schema)
+    return df.select(*keep).mapInArrow(tidy(run), schema)
 
 
 def keep_good(df: DataFrame, text: str = "text") -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.arrays import U64, RollingHash, byte_table, mix, slices, spread, utf8
+from tidewatch.llm.arrays import RollingHash, U64, byte_table, mix, slices, spread, tidy, utf8
 from tidewatch.llm.shared import stored
 
 SPAN, CORE = 200, 48
@@ -173,7 +173,7 @@ def listed(rows: DataFrame, bits=None, span: int = SPAN, core: int = CORE) -> Da
                     count = np.ones(len(pick), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(head[pick].view(np.int64)), pa.array(piece[pick].view(np.int64)), pa.array(row[text[pick]]), pa.array(start[pick].astype(np.int32)), pa.array(n[pick].astype(np.int32)), pa.array(count.astype(np.int32))], ["core", "piece", "row", "start", "n", "copies"])
 
-    return rows.mapInArrow(run, "core long, piece long, row long, start int, n int, copies int")
+    return rows.mapInArrow(tidy(run), "core long, piece long, row long, start int, n int, copies int")
 
 
 def recurring(found: DataFrame) -> DataFrame:
@@ -220,7 +220,7 @@ def repeated_windows(texts: DataFrame, span: int = SPAN) -> DataFrame:
             values = pa.StructArray.from_arrays([pa.array(first[base:stop].astype(np.int32)), pa.array(last[base:stop].astype(np.int32))], ["first", "last"])
             yield pa.RecordBatch.from_arrays([pa.array(core[owner[a:b]]), pa.array(name[owner[a:b]]), pa.ListArray.from_arrays(bounds, values)], ["core", "piece", "spans"])
 
-    return texts.select("core", "piece", "copies", "bytes").repartition("core").mapInArrow(run, "core long, piece long, spans array<struct<first:int,last:int>>")
+    return texts.select("core", "piece", "copies", "bytes").repartition("core").mapInArrow(tidy(run), "core long, piece long, spans array<struct<first:int,last:int>>")
 
 
 def merge_spans(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
@@ -251,7 +251,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", span:
             yield batch.filter(pa.array(held_in(wanted.value, batch.column("row").to_numpy())))
 
     cuts = kinds.groupBy("row").agg(F.collect_list(F.struct("core", "piece", "copies", "start", "n")).alias("cuts"))
-    sources = long_enough.mapInArrow(only, "row long, text string").join(cuts, "row")
+    sources = long_enough.mapInArrow(tidy(only), "row long, text string").join(cuts, "row")
     sources = sources.select(F.encode("text", "utf-8").alias("bytes"), F.explode("cuts").alias("c"))
     texts = sources.select("c.core", "c.piece", "c.copies", F.substring("bytes", F.col("c.start") + 1, F.col("c.n") + span - 1).alias("bytes"))
     verdicts = stored(repeated_windows(texts, span), "windows")
@@ -294,4 +294,4 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", span:
             columns = [batch.column("key"), *(pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), run_type, pa.binary()), strict=True))]
             yield pa.RecordBatch.from_arrays(columns[: len(result)], result.names)
 
-    return rows.mapInArrow(untouched, first).join(spans, "row", "left").select("key", "n_bytes", "digest", "left", "text", "found").mapInArrow(removed, result)
+    return rows.mapInArrow(tidy(untouched), first).join(spans, "row", "left").select("key", "n_bytes", "digest", "left", "text", "found").mapInArrow(tidy(removed), result)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.arrays import slices
+from tidewatch.llm.arrays import slices, tidy
 from tidewatch.llm.pretokens import WordTable
 from tidewatch.llm.shared import new_folder
 
@@ -204,7 +204,7 @@ def write_token_files(df: DataFrame, tokenizer_path: str, folder: str, key: str
             fs.move(f"{name}{suffix}.{attempt}", f"{name}{suffix}")
         yield pa.RecordBatch.from_pydict({"file": [number], "path": [f"{folder}/tokens-{number:06d}.pfor"], "tokens": [writer.total], "docs": [docs]}, schema=pa.schema([("file", pa.int32()), ("path", pa.string()), ("tokens", pa.int64()), ("docs", pa.int64())]))
 
-    out = rows.mapInArrow(run, "file int, path string, tokens long, docs long").collect()
+    out = rows.mapInArrow(tidy(run), "file int, path string, tokens long, docs long").collect()
     return sorted((r.file, r.path, r.tokens, r.docs) for r in out)
 
 
@@ -232,7 +232,7 @@ def read_token_files(spark: SparkSession, files: list[tuple[int, str, int, int]]
                         yield pa.RecordBatch.from_arrays([keys.slice(done, len(counts)), pa.array(doc_starts + before), pa.array(counts), pa.array(crc, pa.int64())], [key, "start", "n_tokens", "ids_crc32"])
                         done += len(counts)
 
-    return listed.mapInArrow(run, f"{key} {key_type}, start long, n_tokens long, ids_crc32 long")
+    return listed.mapInArrow(tidy(run), f"{key} {key_type}, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", end_id: int = 2) -> DataFrame:
