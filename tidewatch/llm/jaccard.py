@@ -9,12 +9,18 @@ share l or more, for every l up to a.
    ones (a bounded list, at most HOT_LIMIT) come last in the order; the rest follow their hash.
 2. Each node picks l by estimated cost: a longer prefix is more to scan, but a candidate then
    needs l shared shingles, and there are at most sum(frequency - 1) / l of those.
+   Two similar sets share ceil(t / (1 + t) * (n + n')) shingles, of which no more lie beyond
+   both prefixes than the longer rest of the two; the prefixes must share what is left. One
+   of these is among the first n - ceil(2t / (1 + t) * n) + 1 of the smaller set.
 3. Prefix shingles meet by value. A group of up to SMALL nodes gives all its pairs; a larger
-   one only neighbours by size, so that a group of any size gives as many pairs as nodes. The
-   pairs are verified on whole sets, and the links make components.
-4. Nodes of larger groups that are in different components by then are counted pair by pair;
-   those that share min(l, l') shingles are verified too. So no link between components is
-   lost, and those within one are of no consequence.
+   one only neighbours by size and by two min-hashes, so that a group of any size gives a few
+   pairs a node. Pairs whose prefixes share enough are verified on whole sets, and the links
+   make components.
+   Neighbours in different components are tried twice more, which leaves few to step 4.
+4. Nodes of larger groups that are in different components by then meet pair by pair, where
+   the shingle is early in the smaller set and parity marks of both sets differ in few enough
+   bits; those that share enough are verified too. So no link between components is lost, and
+   those within one are of no consequence.
 """
 
 from __future__ import annotations
@@ -27,10 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.arrays import U64, RollingHash, byte_table, mix, slices, space_words, spread, utf8
-from tidewatch.llm.components import connected_components
+from tidewatch.llm.arrays import RollingHash, U64, byte_table, mix, slices, space_words, spread, tidy, utf8
 from tidewatch.llm.packing import deltas, pack, undeltas, unpack
 from tidewatch.llm.shared import stored
+from tidewatch.operators.components import connected_components
 
 WIDTH, PERCENT = 5, 75
 #: Bits of a shingle's hash: in frequency counts, in prefixes and sets.
@@ -39,6 +45,10 @@ COUNT_BITS, TOKEN_BITS = 40, 48
 LEAST_FREQUENCY, HOT_LIMIT = 8, 1_000_000
 #: Longest extension of a prefix; nodes of a group that gives all its pairs.
 MOST_MATCHES, SMALL = 4, 4
+#: Times that neighbours of different components are tried before all pairs between them.
+#: Bits of the parity marks by which pairs are told apart before they are made.
+MARKS = 256
+NEIGHBOUR_ROUNDS = 2
 FLUSH = 2_000_000
 FILTER_BITS = 1 << 26
 LOWER = np.arange(256, dtype=np.uint8)
@@ -72,6 +82,16 @@ def shingles(batch: pa.RecordBatch, text: str) -> tuple[np.ndarray, np.ndarray,
     return values, bounds, np.where(size > 0, nodes.astype(np.int64), 0)
 
 
+def in_prefixes(n: np.ndarray, rest: np.ndarray, m: np.ndarray, rest_m: np.ndarray, percent: int) -> np.ndarray:
+    """Prefix shingles that similar sets of n and m shingles share, with `rest` of them beyond each prefix."""
+    return np.maximum(1, -(-percent * (n + m) // (100 + percent)) - np.maximum(rest, rest_m))
+
+
+def first_of(n: np.ndarray, percent: int) -> np.ndarray:
+    """Length of the start of a prefix in which a set of n shingles meets any similar one that isn't smaller."""
+    return n + (-2 * percent * n // (100 + percent)) + 1
+
+
 def required(n: np.ndarray, percent: int) -> np.ndarray:
     """Shingles that any similar set shares with one of n."""
     return -(-n * percent // 100)
@@ -117,7 +137,7 @@ def frequent(df: DataFrame, text: str, parts: int) -> DataFrame:
         often = total >= LEAST_FREQUENCY
         return pa.table({"token": tokens[first][often].astype(np.int64), "frequency": total[often]})
 
-    return df.select(text).mapInArrow(count, "part int, run binary").groupBy("part").applyInArrow(merge, "token long, frequency long")
+    return df.select(text).mapInArrow(tidy(count), "part int, run binary").groupBy("part").applyInArrow(merge, "token long, frequency long")
 
 
 def hottest(counted: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -155,14 +175,35 @@ class Classes:
         return out
 
 
+def least_hash(values: np.ndarray, bounds: np.ndarray, seed: int) -> np.ndarray:
+    """A 32-bit min-hash of each text's shingles."""
+    full = np.flatnonzero(np.diff(bounds))
+    out = np.zeros(len(bounds) - 1, U64)
+    if len(full):
+        out[full] = np.minimum.reduceat(mix(values + U64(seed)), bounds[full]) >> U64(32)
+    return out
+
+
+def parities(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """MARKS bits a text: whether an odd number of its shingles falls on each. Sets that differ in d shingles differ in at most d bits."""
+    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    odd = np.bincount(owner * MARKS + (values % U64(MARKS)).astype(np.int64), minlength=MARKS * (len(bounds) - 1)) & 1
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(MARKS // 8), len(bounds) - 1, [None, pa.py_buffer(np.packbits(odd.astype(np.uint8)).tobytes())]).cast(pa.binary())
+
+
+def alike(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of n and m shingles with these marks may be similar."""
+    return np.bitwise_count(x ^ y).sum(axis=1) <= n + m - 2 * -(-percent * (n + m) // (100 + percent))
+
+
 def six_bytes(tokens: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
 
 
 def prefixes(df: DataFrame, key: str, text: str, hot, percent: int) -> DataFrame:
-    """(row, key, n, node, matches, prefix) of each text; prefix holds six bytes a shingle, in order."""
+    """(row, key, n, node, near, prefix) of each text; prefix holds six bytes a shingle, in order; near has two min-hashes."""
     rows = df.select(F.xxhash64(key, text).alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
-    schema = T.StructType([*rows.drop("text").schema, *T.DataType.fromDDL("n long, node long, matches int, prefix binary")])
+    schema = T.StructType([*rows.drop("text").schema, *T.DataType.fromDDL("n long, node long, near bigint, marks binary, prefix binary")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = Classes(*hot.value)
@@ -187,9 +228,10 @@ def prefixes(df: DataFrame, key: str, text: str, hot, percent: int) -> DataFrame
                 chosen = six_bytes(values[order[spread(bounds[:-1], size)]] >> U64(64 - TOKEN_BITS)).reshape(-1)
                 ends = np.append(0, 6 * np.cumsum(size))
                 blobs = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(chosen.tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("key"), pa.array(n), pa.array(nodes, mask=n == 0), pa.array(best.astype(np.int32)), blobs], schema.names)
+                near = least_hash(values, bounds, 1) << U64(32) | least_hash(values, bounds, 2)
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("key"), pa.array(n), pa.array(nodes, mask=n == 0), pa.array(near.view(np.int64)), parities(values, bounds), blobs], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def postings(nodes: DataFrame, parts: int, percent: int) -> DataFrame:
@@ -199,15 +241,15 @@ def postings(nodes: DataFrame, parts: int, percent: int) -> DataFrame:
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            node, n, matches, token, owner, level = (np.concatenate(x) for x in zip(*held, strict=True))
+            node, n, near, token, owner, early = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.argsort(token)
-            token, owner, level = token[order], owner[order], level[order]
+            token, owner, early = token[order], owner[order], early[order]
             bounds = by_part(token, TOKEN_BITS, parts)
             full = np.flatnonzero(np.diff(bounds))
             blobs = []
             for a, b in zip(bounds[full], bounds[full + 1], strict=True):
                 who, local = np.unique(owner[a:b], return_inverse=True)
-                blobs.append(pack(deltas(token[a:b]), local.astype(np.uint32), level[a:b].astype(np.uint8), node[who].astype(np.uint64), n[who].astype(np.uint32), matches[who].astype(np.uint8)))
+                blobs.append(pack(deltas(token[a:b]), local.astype(np.uint32), early[a:b].astype(np.uint8), node[who].astype(np.uint64), n[who].astype(np.uint32), near[who].view(np.uint64)))
             return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(blobs, pa.binary())], ["part", "run"])
 
         owners = 0
@@ -216,10 +258,9 @@ def postings(nodes: DataFrame, parts: int, percent: int) -> DataFrame:
             wide = np.zeros((len(raw) // 6, 8), np.uint8)
             wide[:, :6] = raw.reshape(-1, 6)
             token, counts = wide.reshape(-1).view("<u8"), np.diff(offsets) // 6
-            n, node, matches = (batch.column(c).to_numpy() for c in ("n", "node", "matches"))
-            place = spread(np.zeros(len(counts), np.int64), counts)
-            level = np.maximum(1, place - np.repeat(n - required(n, percent), counts) + 1)
-            held.append((node, n, matches, token, owners + np.repeat(np.arange(len(n)), counts), level))
+            n, node, near = (batch.column(c).to_numpy() for c in ("n", "node", "near"))
+            early = spread(np.zeros(len(counts), np.int64), counts) < np.repeat(first_of(n, percent), counts)
+            held.append((node, n, near, token, owners + np.repeat(np.arange(len(n)), counts), early))
             owners += len(n)
             size += len(token)
             if size >= FLUSH:
@@ -228,10 +269,10 @@ def postings(nodes: DataFrame, parts: int, percent: int) -> DataFrame:
         if size:
             yield flush()
 
-    return nodes.select("node", "n", "matches", "prefix").mapInArrow(deal, "part int, run binary")
+    return nodes.select("node", "n", "near", "prefix").mapInArrow(tidy(deal), "part int, run binary")
 
 
-MET = "kind int, a long, b long, n long, matches int, level int"
+MET = "kind int, a long, b long, n long, early boolean"
 
 
 def met(runs: DataFrame, percent: int) -> DataFrame:
@@ -240,25 +281,34 @@ def met(runs: DataFrame, percent: int) -> DataFrame:
     def merge(group: pa.Table) -> pa.Table:
         columns: list[list[np.ndarray]] = [[], [], [], [], []]
         for raw in group.column("run").to_pylist():
-            token, local, level, node, n, matches = unpack(raw)
-            for to, x in zip(columns, (undeltas(token), node[local], n[local], matches[local], level), strict=True):
+            token, local, early, node, n, near = unpack(raw)
+            for to, x in zip(columns, (undeltas(token), node[local], n[local], early > 0, near[local]), strict=True):
                 to.append(x)
-        token, node, n, matches, level = (np.concatenate(x) for x in columns)
+        token, node, n, early, near = (np.concatenate(x) for x in columns)
         order = np.lexsort((node, n, token))
-        token, node = token[order], node[order]
-        fresh = np.append(True, (token[1:] != token[:-1]) | (node[1:] != node[:-1]))
-        order, token, node = order[fresh], token[fresh], node[fresh].astype(np.int64)
-        n, matches, level = n[order].astype(np.int64), matches[order], level[order]
+        order = order[np.append(True, (token[order][1:] != token[order][:-1]) | (node[order][1:] != node[order][:-1]))]
+        token, node, n, early, near = token[order], node[order].astype(np.int64), n[order].astype(np.int64), early[order], near[order]
         first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
         size = np.diff(np.append(first, len(token)))
-        size_of = np.repeat(size, size)
+        # a group where the shingle is early in no set brings no pair
+        size_of = np.repeat(np.where(np.maximum.reduceat(early, first), size, 0), size)
         pairs = []
+
+        def beside(order: np.ndarray, step: int, small: bool) -> None:
+            """Pairs of nodes `step` apart in this order of each group."""
+            i, j = order[:-step], order[step:]
+            ok = (token[i] == token[j]) & (size_of[i] > 0) & ((size_of[i] <= SMALL) == small) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            ok &= (early[i] & (n[i] <= n[j])) | (early[j] & (n[j] <= n[i]))
+            i, j = i[ok], j[ok]
+            pairs.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1))
+
+        by_size, big = np.arange(len(token)), np.flatnonzero(size_of > SMALL)
         for step in range(1, SMALL):
-            i = np.flatnonzero((token[:-step] == token[step:]) & ((size_of[:-step] <= SMALL) | (step == 1))) if len(token) > step else np.zeros(0, np.int64)
-            i = i[100 * n[i] >= percent * n[i + step]]
-            pairs.append(np.stack([np.minimum(node[i], node[i + step]), np.maximum(node[i], node[i + step])], axis=1))
-        pair = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
-        big = np.flatnonzero(size_of > SMALL)
+            beside(by_size, step, True)
+        beside(big, 1, False)
+        for hashed in (near >> U64(32), near & U64(0xFFFFFFFF)):
+            beside(big[np.lexsort((n[big], hashed[big], token[big]))], 1, False)
+        pair = np.unique(np.concatenate(pairs), axis=0)
         none = np.zeros(len(pair), np.int64)
         return pa.table(
             {
@@ -266,8 +316,7 @@ def met(runs: DataFrame, percent: int) -> DataFrame:
                 "a": np.concatenate([pair[:, 0], token[big].astype(np.int64)]),
                 "b": np.concatenate([pair[:, 1], node[big]]),
                 "n": np.concatenate([none, n[big]]),
-                "matches": np.concatenate([none, matches[big]]).astype(np.int32),
-                "level": np.concatenate([none, level[big]]).astype(np.int32),
+                "early": np.concatenate([none > 0, early[big]]),
             }
         )
 
@@ -299,14 +348,40 @@ def sets_of(df: DataFrame, key: str, text: str, reps: DataFrame) -> DataFrame:
                 members = [pack(deltas(values[a:b] >> U64(64 - TOKEN_BITS))) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(nodes), pa.array(np.diff(bounds)), pa.array(members, pa.binary())], ["row", "node", "n", "members"])
 
-    found = rows.mapInArrow(run, "row long, node long, n long, members binary")
+    found = rows.mapInArrow(tidy(run), "row long, node long, n long, members binary")
     return found.join(reps, ["row", "node"], "left_semi").drop("row").groupBy("node").agg(F.first("n").alias("n"), F.first("members").alias("members"))
 
 
+def tokens_of(prefix: pa.BinaryScalar) -> np.ndarray:
+    raw = np.frombuffer(prefix.as_buffer(), np.uint8)
+    wide = np.zeros((len(raw) // 6, 8), np.uint8)
+    wide[:, :6] = raw.reshape(-1, 6)
+    return wide.reshape(-1).view("<u8")
+
+
+def promising(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose prefixes share enough."""
+    sides = info.select("node", "n", "prefix")
+    both = pairs.join(sides.toDF("a", "n_a", "prefix_a"), "a").join(sides.toDF("b", "n_b", "prefix_b"), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+            sides = [[tokens_of(x) for x in batch.column(c)] for c in ("prefix_a", "prefix_b")]
+            rest, rest_m = (size - np.array([len(x) for x in side]) for size, side in zip((n, m), sides, strict=True))
+            shared = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sides, strict=True)])
+            yield batch.filter(pa.array(shared >= in_prefixes(n, rest, m, rest_m, percent))).select(["a", "b"])
+
+    return both.select("a", "b", "n_a", "prefix_a", "n_b", "prefix_b").mapInArrow(tidy(run), "a long, b long")
+
+
 def verified(df: DataFrame, key: str, text: str, listed: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets are similar."""
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    reps = stored(listed.join(needed, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row")), "representatives")
+    ends = lambda x: x.select(F.col("a").alias("node")).union(x.select("b")).distinct()
+    info = listed.join(ends(pairs), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("row").alias("row"))
+    info = stored(info, "nodes")
+    pairs = stored(promising(pairs, info, percent), "pairs")
+    reps = stored(info.select("node", "row").join(ends(pairs), "node", "left_semi"), "representatives")
     sets = stored(sets_of(df, key, text, reps), "sets")
     both = pairs.join(sets.toDF("a", "n_a", "set_a"), "a").join(sets.toDF("b", "n_b", "set_b"), "b")
 
@@ -324,48 +399,70 @@ def verified(df: DataFrame, key: str, text: str, listed: DataFrame, pairs: DataF
                 good[i] = 100 * both >= percent * (a + b - both)
             yield batch.filter(pa.array(good)).select(["a", "b"])
 
-    return both.select("a", "b", "n_a", "set_a", "n_b", "set_b").mapInArrow(similar, "a long, b long")
+    return both.select("a", "b", "n_a", "set_a", "n_b", "set_b").mapInArrow(tidy(similar), "a long, b long")
 
 
-def between_components(big: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes in different components that share enough prefix shingles of the larger groups."""
-    rows = big.select(F.col("a").alias("token"), F.col("b").alias("node"), "n", "matches", "level")
+def mixed(big: DataFrame, labels: DataFrame, marks: DataFrame) -> DataFrame:
+    """(token, node, n, early, component, marks) of the shingles whose nodes are in different components, ordered within tasks by shingle and n."""
+    rows = big.select(F.col("a").alias("token"), F.col("b").alias("node"), "n", "early")
     rows = rows.join(labels, "node", "left").withColumn("component", F.coalesce("root", "node")).drop("root")
-    mixed = rows.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token")
-    rows = rows.join(mixed, "token", "left_semi").repartition("token").sortWithinPartitions("token", "n")
+    several = rows.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("early").alias("any")).filter("x <> y and any").select("token")
+    return rows.join(several, "token", "left_semi").join(marks, "node").repartition("token").sortWithinPartitions("token", "n")
+
+
+def by_token(batches: Iterator[pa.RecordBatch], names: list[str], each) -> Iterator[pa.RecordBatch]:
+    """each(*columns) of every shingle's rows; a shingle may go on in the next batch."""
+    held: list = []
+    for batch in batches:
+        held.append([np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) if c == "marks" else batch.column(c).to_numpy(zero_copy_only=False) for c in names])
+        columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+        first = np.flatnonzero(np.append(True, columns[0][1:] != columns[0][:-1]))
+        for a, b in zip(first[:-1], first[1:], strict=True):
+            yield from each(*(c[a:b] for c in columns))
+        held = [[c[first[-1] :] for c in columns]]
+    if held:
+        yield from each(*held[0])
+
+
+def beside_components(big: DataFrame, labels: DataFrame, marks: DataFrame, percent: int, seed: int) -> DataFrame:
+    """Pairs (a, b) of nodes in different components that stand side by side in a larger group, in an order drawn for each group: a few a node."""
 
-    def emit(token, node, n, matches, level, component) -> Iterator[pa.RecordBatch]:
-        """All pairs of one shingle's nodes, which ascend by n."""
+    def emit(token, node, n, early, component, marks) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(mix(node.view(U64) ^ mix(token.view(U64) + U64(seed))))
+        i, j = order[:-1], order[1:]
+        ok = (component[i] != component[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+        ok &= ((early[i] & (n[i] <= n[j])) | (early[j] & (n[j] <= n[i]))) & alike(n[i], n[j], marks[i], marks[j], percent)
+        i, j = node[i[ok]], node[j[ok]]
+        if len(i):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], ["a", "b"])
+
+    names = ["token", "node", "n", "early", "component", "marks"]
+    return mixed(big, labels, marks).select(*names).mapInArrow(lambda batches: by_token(batches, names, emit), "a long, b long").distinct()
+
+
+def between_components(big: DataFrame, labels: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of nodes in different components that meet in a larger group."""
+
+    def emit(token, node, n, early, component, marks) -> Iterator[pa.RecordBatch]:
+        """Pairs of one shingle's nodes, which ascend by n, so that the first of a pair is the smaller."""
         last = np.searchsorted(n, n * 100 // percent, side="right")
-        counts = last - np.arange(len(n)) - 1
+        counts = np.where(early, last - np.arange(len(n)) - 1, 0)
         start = 0
         ends = np.cumsum(counts)
         while start < len(n):
             stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + 500_000, side="right")))
             i = np.repeat(np.arange(start, stop), counts[start:stop])
             j = spread(np.arange(start, stop) + 1, counts[start:stop])
-            least = np.minimum(matches[i], matches[j])
-            ok = (component[i] != component[j]) & (level[i] <= least) & (level[j] <= least)
-            i, j, least = i[ok], j[ok], least[ok]
+            ok = component[i] != component[j]
+            i, j = i[ok], j[ok]
+            ok = alike(n[i], n[j], marks[i], marks[j], percent)
+            i, j = node[i[ok]], node[j[ok]]
             if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j])), pa.array(least.astype(np.int32))], ["a", "b", "need"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], ["a", "b"])
             start = stop
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["token", "node", "n", "matches", "level", "component"]
-        held: list = []
-        for batch in batches:
-            held.append([batch.column(c).to_numpy() for c in names])
-            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
-            first = np.flatnonzero(np.append(True, columns[0][1:] != columns[0][:-1]))
-            for a, b in zip(first[:-1], first[1:], strict=True):  # the last shingle may go on
-                yield from emit(*(c[a:b] for c in columns))
-            held = [[c[first[-1] :] for c in columns]]
-        if held:
-            yield from emit(*held[0])
-
-    counted = rows.select("token", "node", "n", "matches", "level", "component").mapInArrow(run, "a long, b long, need int")
-    return counted.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("need").alias("need")).filter("shared >= need").select("a", "b")
+    names = ["token", "node", "n", "early", "component", "marks"]
+    return mixed(big, labels, marks).select(*names).mapInArrow(lambda batches: by_token(batches, names, emit), "a long, b long").distinct()
 
 
 def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, hot_limit: int = HOT_LIMIT) -> DataFrame:
@@ -385,11 +482,16 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", perce
     groups = stored(met(postings(nodes, parts, percent), percent), "met")
     pairs = stored(groups.filter("kind = 0").select("a", "b").distinct(), "pairs")
     links = stored(verified(df, key, text, nodes, pairs, percent), "links")
-    labels = connected_components(links)
-    more = stored(between_components(groups.filter("kind = 1"), labels, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        second = stored(verified(df, key, text, nodes, more, percent), "links")
-        labels = connected_components(links.union(second))
+    labels, big = connected_components(links), groups.filter("kind = 1")
+    marks = nodes.groupBy("node").agg(F.first("marks").alias("marks"))
+    for seed in range(NEIGHBOUR_ROUNDS + 1):
+        last = seed == NEIGHBOUR_ROUNDS
+        more = between_components(big, labels, marks, percent) if last else beside_components(big, labels, marks, percent, seed)
+        more = stored(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
+        if not more.isEmpty():
+            pairs = pairs.unionByName(more)
+            links = links.unionByName(stored(verified(df, key, text, nodes, more, percent), "links"))
+            labels = connected_components(links)
     joined = listed.select("row", "key", "n", "node").join(labels, "node", "left")
     return joined.select("row", "key", "n", F.coalesce("root", "node").alias("component"))
 
