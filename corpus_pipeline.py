@@ -38,10 +38,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, source, n_tokens, ids, round_trip): ids of each text, and whether they decode to it again."""
-    path = vocabulary("byte_bpe_50k.tiktoken")
-    done = bpe.decode(bpe.encode(docs.select("doc_id", "source", "text"), path), path)
-    same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return done.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+    done = bpe.round_trip(docs.select("doc_id", "source", "text"), vocabulary("byte_bpe_50k.tiktoken"))
+    return done.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
 STAGES = [("quality rules", quality_rules), ("n-gram Jaccard join", near_duplicates), ("secret scans", secret_scan), ("mixing sources", source_mix), ("byte-level BPE", byte_bpe)]

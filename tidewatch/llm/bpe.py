@@ -205,6 +205,27 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", into: str = "decode
     return df.select(*keep).mapInArrow(tidy(run), schema)
 
 
+def round_trip(df: DataFrame, ranks_path: str, text: str = "text", into: str = "ids", same: str = "round_trip") -> DataFrame:
+    """`df` with each text's ids, and whether they decode to it again: both in one worker, which holds the tables once.
+
+    Null and empty texts give an empty array and true; columns named like the added ones are replaced.
+    """
+    keep = [c for c in df.columns if c not in (into, same)]
+    schema = df.select(*keep).schema.add(into, T.ArrayType(T.IntegerType())).add(same, T.BooleanType())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, table, decoder = held(ranks_path)
+        for batch in batches:
+            for part in slices(batch, text):
+                texts = strings(part.column(text))
+                ids, offsets = table.tokens(*table.rows(texts))
+                equal = [a == b.encode() for a, b in zip(decoder.texts(ids, offsets), texts, strict=True)]
+                array = pa.ListArray.from_arrays(offsets.astype(np.int32), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), array, pa.array(equal, pa.bool_())], [*keep, into, same])
+
+    return df.select(*keep).mapInArrow(tidy(run), schema)
+
+
 def digests(df: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256): each text encoded, its ids decoded, both digested, within one pass."""
     schema = df.select(key).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
