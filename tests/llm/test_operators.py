@@ -140,6 +140,23 @@ def test_secrets(spark, empty):
     assert secrets.digests(empty).count() == 0
 
 
+def test_random_secrets_of_small_alphabets(spark):
+    """Most random tokens in hexadecimal, base 32 and base 36 are found, as one in ten candidates, and no words, names or orderly runs."""
+    rng = random.Random(11)
+    token = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    alphabets = ("0123456789ABCDEF", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdefghijklmnopqrstuvwxyz")
+    planted = [(n, token(a, n)) for a in alphabets for n in (20, 32, 40, 64) for _ in range(5)]
+    parts = "time river house people water letter great small often never under after schrift frage maison lettre tiempo".split()
+    word = lambda: rng.choice(("", "_", "-", "/")).join(rng.choices(parts, k=6))
+    plain = [f(word()) for _ in range(180) for f in (str.lower, str.upper, str.title, lambda w: w + "/2024/05/12")] + ["deadbeef" * 3, "0" * 40, "0123456789ABCDEF" * 3, "ABAB1212" * 5]
+    rows = [(f"{n}", f"see {t} and sig={t}.") for n, t in planted] + [("plain", f"see {t}.") for t in plain]
+    found = Counter()
+    for r in secrets.scan(spark.createDataFrame(rows, "kind string, text string")).collect():
+        found[r.kind] += sum(s.kind == 3 for s in r.secrets)
+    assert found["plain"] == 0
+    assert found["20"] >= 32 and all(found[n] >= 36 for n in ("32", "40", "64"))  # of 40
+
+
 # 3: quality
 
 

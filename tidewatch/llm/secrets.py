@@ -1,16 +1,18 @@
 """Secret scans: fixed patterns, and a battery of randomness tests; DataFrame functions only.
 
 A candidate is a run of 20 or more characters of [A-Za-z0-9+/_=-]. Its encoding is inferred
-(digits, hexadecimal, base 32, base 64, ...), which gives its alphabet of k symbols. For n
-symbols three tests are made:
-
-* chi-squared against equal use of the alphabet. The null hypothesis is ordinary text: its
-  symbols repeat as they do in prose (index of coincidence IC), so the statistic is about
-  noncentral chi-squared with k - 1 degrees of freedom and noncentrality n * (k * IC - 1).
-  The p-value is the chance of a statistic as low as seen; it falls with n, so short runs
-  don't pass by luck.
-* runs above and below the middle of the alphabet, and lag-1 serial correlation of the
-  symbols' places. A run that fails either as random data (p < VETO) is orderly.
+(digits, hexadecimal, base 32, base 64, ...), which gives its alphabet of k symbols. Where
+signs cut a piece of 20 or more characters out of the run (key=..., sk_live_...), the longest
+one is judged in its place. Two hypotheses are tested:
+
+* random data: chi-squared against equal use of the alphabet, runs above and below its
+  middle, and lag-1 serial correlation of the symbols' places. A run that fails one of them
+  (p < VETO) is orderly.
+* prose, names and numbers as people write them: a chain of letter pairs and of changes
+  between lower case, capitals, digits and signs, with likelihood P. Uniform symbols have
+  likelihood k^-n; under the chain, P * k^n is as small as r with a chance of r at most
+  (Markov's inequality), so it is the p-value. It falls with every pair that prose
+  avoids, in small alphabets too.
 
 Benjamini and Hochberg's step-up at rate RATE is applied over all candidates of the corpus
 within each band of length. P-values are rounded up to a grid, so that the step-up needs
@@ -44,10 +46,22 @@ ENCODINGS = (
     ("^[A-Za-z]+$", UPPER + LOWER),
     ("^[0-9A-Za-z]+$", DIGITS + UPPER + LOWER),
     ("^[0-9A-Za-z+/]+$", UPPER + LOWER + DIGITS + "+/"),
+    ("^[0-9A-Za-z_-]+$", UPPER + LOWER + DIGITS + "-_"),
     ("", UPPER + LOWER + DIGITS + "-_+/="),
 )
-#: Index of coincidence of prose over 26 letters, and the least excess assumed for small alphabets.
-PROSE_IC, LEAST_EXCESS = 0.0655, 0.5
+#: Costs of a letter after another in quarters of a nat (a = 0), rows and columns from a to z, rounded down:
+#: prose in four languages and the words of program source in equal parts, and 0.1 of equal use.
+PAIRS = """
+qomnptrslvskogqpvkjhlrstsv ksorfuvvnpveuuksvppslvvvlv lvrtluvehwnntvitvptlpvvvtw lqsoesuoivvnuoiuvpmnnvrvsw ksnknqssnvunphqprgimrrsott jqrsjlrqivtnurfsviokntuvst
+jpruetqllvtnsmmswmkmnsrvvt gqtuevuojvuqtpjuvnolrurwuu prmpkqqusvunoeiqupkivqvtwr custhvvtquptuujrutqujvvvtu pussbtsukvunupttvrlssuowtv jutpesvvjvvjuulsvtoppuuwhv
+jqvtdvvvhwusqulkwupspvvwsv lqmijsipmvsptoksuqlhqrrwtu rronslsvovspneqovhmnirpuvv evttjgvtowvlvvjnvlqmqvvwow suuuvvuuuwututvutqsuavuvvv jqqqetqplvsqqnjsvlmkpsrwqu
+nskthusilusqrrnptrlfmvsvrw lsqthsufhwvrtrlsvlnnpusvqq mopsgqqrnwulnhomtklkuttkwu iuuvduvvfvvvtukvwvuvvvuvvv htusluvdhvwsvnmvwmpuvvsuww jrjriqvtkvvonukkomshuounqv
+moqsisumlvvnqkkjvoihusnupr lqpsfuqsltsqquprtsqqestsrl
+""".split()
+#: Chances of a lower-case letter, a capital, a digit and a sign after each of them, and at the start.
+CHANGES = ((0.90, 0.03, 0.02, 0.05), (0.25, 0.70, 0.02, 0.03), (0.05, 0.05, 0.80, 0.10), (0.55, 0.20, 0.20, 0.05))
+SIGNS = "+/_=-"
+SYMBOLS = LOWER + UPPER + DIGITS + SIGNS
 BANDS = (20, 32, 48, 64, 128)
 RATE, VETO = 0.01, 0.001
 GRID, GRID_STEP = 1024, 16.0
@@ -113,12 +127,30 @@ def neighbours(values: Column, f: Callable[[Column, Column], Column]) -> Column:
     return total(F.zip_with(F.slice(values, F.lit(1), n), F.slice(values, F.lit(2), n), f))
 
 
-def p_prose(x: Column) -> Column:
-    """Chance that prose uses its alphabet as evenly."""
+def pair_costs() -> list[float]:
+    """-log of the chance of each symbol after each other one, row by row."""
+    sorts = [0] * 26 + [1] * 26 + [2] * 10 + [3] * len(SIGNS)
+    within = lambda p, q: 1 / 10 if sorts[q] == 2 else 1 / len(SIGNS) if sorts[q] == 3 else math.exp(-(ord(PAIRS[p % 26][q % 26]) - 97) / 4) if p < 52 else 1 / 26
+    places = range(len(SYMBOLS))
+    return [-math.log(CHANGES[sorts[p]][sorts[q]] * within(p, q)) for p in places for q in places]
+
+
+def log_p_prose(x: Column) -> Column:
+    """log of the chance that prose is as likely under equal use of the alphabet; case counts only where it changes."""
+    costs = F.split(F.lit(",".join(f"{c:.3f}" for c in pair_costs())), ",").cast("array<double>")
+    one_case = F.when(x["s"] == F.upper(x["s"]), F.lower(x["s"])).otherwise(x["s"])
+    places = F.transform(F.split(one_case, ""), lambda c: F.instr(F.lit(SYMBOLS), c))
+    # the start: a symbol of any kind, one of len(SYMBOLS)
+    spent = let(places, lambda p: neighbours(p, lambda a, b: F.get(costs, (a - 1) * len(SYMBOLS) + b - 1))) + math.log(len(SYMBOLS))
+    return x["n"] * F.log(x["k"]) - spent
+
+
+def p_even(x: Column) -> Column:
+    """Chance that random data use the alphabet as unevenly, by Wilson and Hilferty's cube root."""
     counts = F.transform(F.split(x["alphabet"], ""), lambda c: (F.length(x["s"]) - F.length(F.replace(x["s"], c, F.lit("")))).cast("double"))
     chi = total(F.transform(counts, lambda c: c * c)) * x["k"] / x["n"] - x["n"]
-    excess = x["n"] * F.greatest(x["k"] * PROSE_IC - 1, F.lit(LEAST_EXCESS))
-    return let(F.struct(((x["k"] - 1 + excess) - chi).alias("gap"), F.sqrt(2 * (x["k"] - 1 + 2 * excess)).alias("deviation")), lambda v: upper_tail(v["gap"] / v["deviation"]))
+    part = 2 / (9 * (x["k"] - 1))
+    return upper_tail((F.cbrt(F.greatest(chi, F.lit(0.0)) / (x["k"] - 1)) - (1 - part)) / F.sqrt(part))
 
 
 def p_runs(x: Column, places: Column) -> Column:
@@ -146,8 +178,8 @@ def grid_point(run: Column) -> Column:
 
     def battery(x: Column) -> Column:
         places = F.transform(F.split(x["s"], ""), lambda c: F.instr(x["alphabet"], c).cast("double"))
-        orderly = let(places, lambda p: (p_runs(x, p) < VETO) | (p_serial(x, p) < VETO))
-        g = F.when(x["n"] < BANDS[0], 0).when(orderly, 0).otherwise(F.least(F.lit(GRID - 1), F.floor(-F.log(F.greatest(p_prose(x), F.lit(1e-300))) * GRID_STEP).cast("int")))
+        orderly = (p_even(x) < VETO) | let(places, lambda p: (p_runs(x, p) < VETO) | (p_serial(x, p) < VETO))
+        g = F.when(x["n"] < BANDS[0], 0).when(orderly, 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(GRID - 1), F.floor(-log_p_prose(x) * GRID_STEP).cast("int"))))
         band = F.lit(0)
         for i, least in enumerate(BANDS[1:], 1):
             band = F.when(x["n"] >= least, i).otherwise(band)
@@ -156,7 +188,11 @@ def grid_point(run: Column) -> Column:
     def described(s: Column) -> Column:
         return let(alphabet_of(s), lambda a: let(F.struct(s.alias("s"), a.alias("alphabet"), F.length(s).cast("double").alias("n"), F.length(a).cast("double").alias("k")), battery))
 
-    return let(F.regexp_replace(run, "=+$", ""), described)
+    def core(s: Column) -> Column:
+        longest = F.aggregate(F.split(s, "[=_-]"), F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
+        return let(longest, lambda piece: F.when(F.length(piece) >= BANDS[0], piece).otherwise(s))
+
+    return let(let(F.regexp_replace(run, "=+$", ""), core), described)
 
 
 def with_candidates(df: DataFrame, text: str) -> DataFrame:
