@@ -355,6 +355,22 @@ def test_html(spark):
     assert found[2] == found[3] == found[4] == ("", 0) and found[5] == ("plain words only", 16) and found[6] == ("deep", 4) and found[7][0].replace("\n", "") == "ab"
 
 
+@pytest.mark.parametrize("outer", ["<div id=content>{}</div>", "<main>{}</main>", "<div><div>{}</div></div>", "<main><div>{}</div></main>", "{}"])
+def test_html_of_several_sections(outer):
+    """Sections beside each other are main text, whatever holds them; lists of links beside them are not."""
+    words = "".join(f"w{i:04d} " for i in range(50)).strip()
+    section = lambda i: f"<div class=sec><h2>Part {i}</h2>" + "".join(f"<p>{i}{k} {words}</p>" for k in range(3)) + "</div>"
+    links = "<div><ul>" + "".join(f"<li><a href=/{i}>Other page number {i}</a></li>" for i in range(12)) + "</ul></div>"
+    body = f"<h1>Title</h1>{section(1)}{section(2)}<h2>Between</h2><p>Short.</p>{section(3)}{section(4)}"
+    expected = ["Title"]
+    for i in range(1, 5):
+        expected += ["Between", "Short."] * (i == 3) + [f"Part {i}"] + [f"{i}{k} {words}" for k in range(3)]
+    assert html.main_text(f"<html><body>{links}{outer.format(body)}{links}</body></html>").split("\n") == expected
+    two = f"<h1>Title</h1>{section(1)}{links}{section(2)}{links}"
+    assert html.main_text(f"<html><body>{outer.format(two)}</body></html>").split("\n") == expected[:9]
+    assert html.main_text('<p>One <a href=/1>link</a> here.</p><p><a href=/2>A line of link only</a></p>Bare <a href=/3>text</a>.') == "One link here.\nA line of link only\nBare text."
+
+
 # 10: mix
 
 

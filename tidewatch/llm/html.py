@@ -7,9 +7,12 @@ tags T and link tags LT below it. Its density is
 
 with nLC = C - LC, T and LT at least 1, and C' the body's characters: text of many
 characters a tag and few links is dense. DensitySum is the sum of the children's densities.
-The threshold is the least density on the path from the body to the node of the greatest
-DensitySum; below it a node outside the chosen subtree is no content. The subtree of the
-greatest DensitySum among nodes at or above the threshold is the main text.
+The subtree of the greatest DensitySum is the core of the main text. The threshold is the
+least density on the path from the body to it. On that path, up to an <article> or <main>,
+every subtree beside it that reaches the threshold is main text too, with what stands
+between such subtrees and is no block of more than a third links, and a heading right before the first;
+other nodes below the threshold are no content. If the core is the body itself, blocks in it
+below the threshold that are more than a third links are no content.
 """
 
 from __future__ import annotations
@@ -27,12 +30,14 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template iframe object svg math canvas".split())
 SKIPPED = RAW | frozenset("head nav header footer aside form button select textarea menu dialog title".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+CONTAINERS = BLOCKS - frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th".split())
 CLOSES_P = BLOCKS - {"body", "html"}
 #: An open element of the first kind ends when the second kind starts.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot", "thead"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option", "optgroup"}, "p": CLOSES_P}
 #: Words in class, id or role that name something other than the article.
 BOILERPLATE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|footer|header|menu|modal|nav|navbar|navigation|newsletter|notices?|popup|promo\w*|related|replies|respond|share|sharing|sidebar|sidenav|site-?header|site-?footer|skip|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
 MAIN = re.compile(r"(?:^|[\s_-])(?:article|main|content|post|entry|story)(?:$|[\s_-])", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu menubar".split())
 
 
@@ -135,16 +140,15 @@ def measure(root: Node) -> list[Node]:
 
 
 def choose(root: Node) -> Node:
-    """The subtree of the greatest DensitySum at or above the body path's threshold."""
+    """The main text's outermost node; what isn't main text is taken out of its children."""
     nodes = measure(root)
     parent = {id(x): n for n in nodes for x in n.children if isinstance(x, Node) and not x.skip}
-    blocks = [n for n in nodes if n is root or n.tag in BLOCKS and n.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dd", "dt", "td", "th")]
+    blocks = [n for n in nodes if n is root or n.tag in CONTAINERS]
     best = max(blocks, key=lambda n: n.density_sum)
     threshold, at = best.density, best
     while at is not root:
         at = parent[id(at)]
         threshold = min(threshold, at.density)
-    best = max((n for n in blocks if n.density >= threshold), key=lambda n: n.density_sum, default=best)
     while best is not root:  # wrappers that hold all the article's blocks
         up = parent[id(best)]
         if up is root or up.chars > best.chars * 1.5 or up.tag not in ("article", "main"):
@@ -153,9 +157,36 @@ def choose(root: Node) -> Node:
     for n in nodes:  # one element that the page itself calls the article
         if n.tag == "article" and n is not best and n.chars >= best.chars and contains(n, best):
             return n
+    if best is root:
+        root.children = [x for x in root.children if isinstance(x, str) or x.density >= threshold or not link_heavy(x)]
+    at = best
+    while at is not root and at.tag not in ("article", "main"):
+        up = parent[id(at)]
+        if widened(up, at, best, threshold):
+            best = up
+        at = up
     return best
 
 
+def link_heavy(node: Node) -> bool:
+    return node.tag in CONTAINERS and 3 * node.link_chars > node.chars
+
+
+def widened(up: Node, at: Node, best: Node, threshold: float) -> bool:
+    """Whether a child of `up` beside `at` reaches the threshold; then only main text stays among its children."""
+    passed = [i for i, x in enumerate(up.children) if x is at or isinstance(x, Node) and not x.skip and x.chars and x.density >= threshold]
+    if len(passed) < 2:
+        return False
+    first, last = passed[0], passed[-1]
+    before = next((i for i in range(first - 1, -1, -1) if not isinstance(up.children[i], str) or up.children[i].strip()), -1)
+    if before >= 0 and isinstance(up.children[before], Node) and up.children[before].tag in HEADINGS:
+        first = before
+    among = set(passed)
+    kept = [best if x is at else x for i, x in enumerate(up.children) if i in among or first <= i <= last and (isinstance(x, str) or not link_heavy(x))]
+    up.children = kept
+    return True
+
+
 def contains(outer: Node, inner: Node) -> bool:
     waiting = [outer]
     while waiting:
