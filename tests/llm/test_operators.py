@@ -185,6 +185,22 @@ def test_quality(spark, docs, empty):
     assert quality.keep_good(empty).count() == 0 and quality.keep_good(df).columns == df.columns
 
 
+def test_noise_of_every_length(spark):
+    """Base 64 and printable noise of ten words or more fail at every length that is judged; prose in two scripts doesn't."""
+    rng = random.Random(4)
+    sizes = (210, 270, 350, 450, 600, 850, 1200, 1700, 2500, 3900, 6000, 20000)
+    base = lambda n: base64.b64encode(rng.randbytes(n)).decode()[:n]
+    split = lambda t: " ".join(t[i : i + len(t) // 12 + 1] for i in range(0, len(t), len(t) // 12 + 1))
+    ascii_noise = lambda n: "".join(chr(rng.randrange(33, 127)) for _ in range(n))
+    parts = "time river house people water letter great small often never under after begin along north table paper voice light story".split()
+    prose = lambda n: " ".join(rng.choice(parts) + rng.choice(["", "s", "ed", "ly"]) for _ in range(n // 5))[:n]
+    han = lambda n: " ".join("".join(chr(0x4E00 + int(rng.paretovariate(0.6)) % 800) for _ in range(5)) for _ in range(n // 16))
+    rows = [(kind, n, f(n)) for kind, f in (("noise", lambda n: split(base(n))), ("noise", lambda n: split(ascii_noise(n))), ("prose", prose), ("prose", han)) for n in sizes for _ in range(3)]
+    found = quality.rate(spark.createDataFrame(rows, "kind string, size int, text string")).collect()
+    assert not [(r.size, r.whole_ratio) for r in found if r.kind == "noise" and (r.kept or r.base_failed)]
+    assert not [(r.size, r.whole_ratio) for r in found if r.kind == "prose" and not r.kept and not r.base_failed]
+
+
 # 4: chat
 
 

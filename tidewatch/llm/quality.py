@@ -16,8 +16,14 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.arrays import RollingHash, U64, byte_table, mix, slices, space_words, tidy, utf8
 
-#: (least bytes, least ratio, greatest ratio) of a text or chunk; shorter ones are not judged.
-BANDS = ((200, 0.20, 1.02), (500, 0.18, 0.92), (1000, 0.16, 0.86), (2000, 0.14, 0.80), (4000, 0.12, 0.76), (16000, 0.10, 0.74))
+#: (least bytes, least ratio, greatest ratio, greatest ratio in other scripts) of a text or chunk; shorter ones are not judged.
+#: The third lies between prose and base 64 of that length. Other scripts take more bytes a character than their texts need
+#: in bits, and short ones compress no better than noise: texts with over OTHER_SHARE of their bytes beyond ASCII have the fourth.
+BANDS = (
+    (200, 0.20, 0.90, 1.02), (250, 0.20, 0.89, 1.02), (300, 0.20, 0.865, 1.02), (400, 0.20, 0.825, 1.02), (500, 0.18, 0.79, 0.92), (700, 0.18, 0.76, 0.92),
+    (1000, 0.16, 0.73, 0.86), (1500, 0.16, 0.71, 0.86), (2000, 0.14, 0.69, 0.80), (4000, 0.12, 0.66, 0.76), (16000, 0.10, 0.62, 0.74),
+)
+OTHER_SHARE = 0.2
 CHUNK_BYTES = 4096
 #: Share of a text's chunks that must lie outside their band.
 CHUNK_SHARE = 0.5
@@ -27,10 +33,10 @@ SYMBOLS, WINDOW, LEAST_WORDS, MOST_REPEATED_PERCENT = b"#*$%&|<>", 5, 10, 20
 COLUMNS = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "base_failed": "boolean", "whole_ratio": "double", "chunks_out": "long", "kept": "boolean"}
 
 
-def outside(n_bytes: int, ratio: float, bands=BANDS) -> bool:
-    for least, low, high in reversed(bands):
+def outside(n_bytes: int, ratio: float, other: bool = False, bands=BANDS) -> bool:
+    for least, low, high, high_other in reversed(bands):
         if n_bytes >= least:
-            return not low <= ratio <= high
+            return not low <= ratio <= (high_other if other else high)
     return False
 
 
@@ -81,6 +87,7 @@ def judged(batch: pa.RecordBatch, text: str, compressor, bands=BANDS) -> dict[st
     n = batch.num_rows
     lines, ratio, out = np.zeros(n, np.int64), np.ones(n), np.zeros(n, np.int64)
     kept = np.ones(n, bool)
+    other = per_text(raw >= 0x80, offsets) > OTHER_SHARE * np.diff(offsets)
     view = memoryview(raw)
     for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
         lines[i] = duplicate_lines(bytes(view[a:b]))
@@ -89,8 +96,8 @@ def judged(batch: pa.RecordBatch, text: str, compressor, bands=BANDS) -> dict[st
         ratio[i] = len(compressor.compress(view[a:b])) / (b - a)
         chunks = [(c, min(c + CHUNK_BYTES, b)) for c in range(a, b, CHUNK_BYTES)]
         chunks = [c for c in chunks if c[1] - c[0] >= bands[0][0]]
-        out[i] = sum(outside(d - c, len(compressor.compress(view[c:d])) / (d - c), bands) for c, d in chunks) if len(chunks) > 1 else 0
-        kept[i] = not outside(b - a, ratio[i], bands) and not (out[i] and out[i] > CHUNK_SHARE * len(chunks))
+        out[i] = sum(outside(d - c, len(compressor.compress(view[c:d])) / (d - c), other[i], bands) for c, d in chunks) if len(chunks) > 1 else 0
+        kept[i] = not outside(b - a, ratio[i], other[i], bands) and not (out[i] and out[i] > CHUNK_SHARE * len(chunks))
     failed = (n_words < LEAST_WORDS) | (100 * repeats > MOST_REPEATED_PERCENT * n_words)
     return {"n_words": n_words, "word_chars": per_text(solid, offsets), "n_symbols": per_text(symbol[raw], offsets), "n_dup_lines": lines, "n_repeat_words": repeats, "base_failed": failed, "whole_ratio": ratio, "chunks_out": out, "kept": ~failed & kept}
 
