@@ -12,15 +12,15 @@ share l or more, for every l up to a.
    Two similar sets share ceil(t / (1 + t) * (n + n')) shingles, of which no more lie beyond
    both prefixes than the longer rest of the two; the prefixes must share what is left. One
    of these is among the first n - ceil(2t / (1 + t) * n) + 1 of the smaller set.
-3. Prefix shingles meet by value. A group of up to SMALL nodes gives all its pairs; a larger
-   one only neighbours by size and by two min-hashes, so that a group of any size gives a few
-   pairs a node. Pairs whose prefixes share enough are verified on whole sets, and the links
-   make components.
-   Neighbours in different components are tried twice more, which leaves few to step 4.
-4. Nodes of larger groups that are in different components by then meet pair by pair, where
-   the shingle is early in the smaller set and parity marks of both sets differ in few enough
-   bits; those that share enough are verified too. So no link between components is lost, and
-   those within one are of no consequence.
+3. Prefix shingles meet by value. Of the nodes that meet (and whose sizes allow it), the least
+   is the hub, and each goes into the hub's bundle. Near copies meet by many shingles, but the
+   least of them is mostly the same, so a node goes into few bundles. No pair is made.
+4. A bundle's sets are compared within one task: shared prefix shingles are counted for all
+   its nodes at once, pairs that share enough are verified on whole sets, and only a forest
+   of the links leaves the task: fewer rows than it took in.
+5. A bundle of over BLOCK_NODES nodes is dealt into blocks, twice and in different ways. Nodes
+   that are then outside the bundle's largest component meet, block by block, all of its nodes
+   of other components; links within a component are of no consequence. So no link is lost.
 """
 
 from __future__ import annotations
@@ -36,19 +36,19 @@ from pyspark.sql import types as T
 from tidewatch.llm.arrays import RollingHash, U64, byte_table, mix, slices, space_words, spread, tidy, utf8
 from tidewatch.llm.packing import deltas, pack, undeltas, unpack
 from tidewatch.llm.shared import stored
-from tidewatch.operators.components import connected_components
+from tidewatch.operators.components import connected_components, roots
 
 WIDTH, PERCENT = 5, 75
 #: Bits of a shingle's hash: in frequency counts, in prefixes and sets.
 COUNT_BITS, TOKEN_BITS = 40, 48
 #: Shingles in fewer sets are not told apart; shingles that the order puts last.
 LEAST_FREQUENCY, HOT_LIMIT = 8, 1_000_000
-#: Longest extension of a prefix; nodes of a group that gives all its pairs.
-MOST_MATCHES, SMALL = 4, 4
-#: Times that neighbours of different components are tried before all pairs between them.
-#: Bits of the parity marks by which pairs are told apart before they are made.
-MARKS = 256
-NEIGHBOUR_ROUNDS = 2
+#: Shingles in more sets find their hub by aggregation over all tasks, not in one.
+SPLIT_FREQUENCY = 1 << 20
+#: Nodes and shingles of one block of a large bundle; times that blocks are dealt.
+BLOCK_NODES, BLOCK_SHINGLES, DEALS = 2048, 1 << 21, 2
+#: Nodes that one step compares, if they are of small bundles; nodes and columns of a matrix product.
+STEP_NODES, STEP_SHINGLES, DENSE, COLUMNS = 512, 1 << 19, 32, 2048
 FLUSH = 2_000_000
 FILTER_BITS = 1 << 26
 LOWER = np.arange(256, dtype=np.uint8)
@@ -175,35 +175,53 @@ class Classes:
         return out
 
 
-def least_hash(values: np.ndarray, bounds: np.ndarray, seed: int) -> np.ndarray:
-    """A 32-bit min-hash of each text's shingles."""
-    full = np.flatnonzero(np.diff(bounds))
-    out = np.zeros(len(bounds) - 1, U64)
-    if len(full):
-        out[full] = np.minimum.reduceat(mix(values + U64(seed)), bounds[full]) >> U64(32)
-    return out
-
-
-def parities(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """MARKS bits a text: whether an odd number of its shingles falls on each. Sets that differ in d shingles differ in at most d bits."""
-    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    odd = np.bincount(owner * MARKS + (values % U64(MARKS)).astype(np.int64), minlength=MARKS * (len(bounds) - 1)) & 1
-    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(MARKS // 8), len(bounds) - 1, [None, pa.py_buffer(np.packbits(odd.astype(np.uint8)).tobytes())]).cast(pa.binary())
-
-
-def alike(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sets of n and m shingles with these marks may be similar."""
-    return np.bitwise_count(x ^ y).sum(axis=1) <= n + m - 2 * -(-percent * (n + m) // (100 + percent))
-
-
 def six_bytes(tokens: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
 
 
+def prefix_sizes(n: np.ndarray, bounds: np.ndarray, kind: np.ndarray, percent: int) -> np.ndarray:
+    """Length of each set's prefix, of the least estimated cost. `kind`: classes of all shingles in order."""
+    need = required(n, percent)
+    before = np.append(0, np.cumsum(np.where(kind > 0, 2.0**kind, 1.0) - 1))
+    best, least, matches = np.ones(len(n), np.int64), np.full(len(n), np.inf), 1
+    while len(n) and (matches <= need).any():
+        size = np.minimum(n, n - need + matches)
+        met = before[bounds[:-1] + size] - before[bounds[:-1]]
+        cost = np.where(matches <= need, size + met + n * met / matches, np.inf)
+        best, least = np.where(cost < least, matches, best), np.minimum(cost, least)
+        matches += 1 + matches // 4
+    return np.where(n > 0, np.minimum(n, n - need + best), 0)
+
+
+def arranged(values: np.ndarray, bounds: np.ndarray, classes: Classes, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of each set in the order of all sets, rare ones first, and the length of its prefix."""
+    n = np.diff(bounds)
+    kind = classes.of(values)
+    order = np.argsort(kind, kind="stable")
+    owner = np.repeat(np.arange(len(n)), n)[order].astype(np.uint16 if len(n) < 1 << 16 else np.uint32)
+    order = order[np.argsort(owner, kind="stable")]
+    return values[order], prefix_sizes(n, bounds, kind[order], percent)
+
+
+def blobs(tokens: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """One binary value for each run of tokens, six bytes a token."""
+    ends = np.append(0, 6 * np.cumsum(sizes)).astype(np.int64)
+    whole = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(six_bytes(tokens).tobytes())])
+    return whole.cast(pa.binary())
+
+
+def tokens_in(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of all values of such a column in a row, and the number of each."""
+    raw, offsets = utf8(column)
+    wide = np.zeros((len(raw) // 6, 8), np.uint8)
+    wide[:, :6] = raw.reshape(-1, 6)
+    return wide.reshape(-1).view("<u8"), np.diff(offsets) // 6
+
+
 def prefixes(df: DataFrame, key: str, text: str, hot, percent: int) -> DataFrame:
-    """(row, key, n, node, near, prefix) of each text; prefix holds six bytes a shingle, in order; near has two min-hashes."""
-    rows = df.select(F.xxhash64(key, text).alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
-    schema = T.StructType([*rows.drop("text").schema, *T.DataType.fromDDL("n long, node long, near bigint, marks binary, prefix binary")])
+    """(row, key, n, node, prefix) of each text; prefix holds six bytes a shingle, in order. `row` is a hash of the text."""
+    rows = df.select(F.xxhash64(text).alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
+    schema = T.StructType([*rows.drop("text").schema, *T.DataType.fromDDL("n long, node long, prefix binary")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = Classes(*hot.value)
@@ -211,57 +229,46 @@ def prefixes(df: DataFrame, key: str, text: str, hot, percent: int) -> DataFrame
             for part in slices(batch, "text"):
                 values, bounds, nodes = shingles(part, "text")
                 n = np.diff(bounds)
-                kind = classes.of(values)
-                order = np.argsort(kind, kind="stable")
-                owner = np.repeat(np.arange(len(n)), n)[order].astype(np.uint16 if len(n) < 1 << 16 else np.uint32)
-                order = order[np.argsort(owner, kind="stable")]
-                others = np.where(kind[order] > 0, 2.0 ** kind[order], 1.0) - 1
-                before = np.append(0, np.cumsum(others))
-                need = required(n, percent)
-                best, least = np.ones(len(n), np.int64), np.full(len(n), np.inf)
-                for matches in range(1, MOST_MATCHES + 1):
-                    size = np.minimum(n, n - need + matches)
-                    met = before[bounds[:-1] + size] - before[bounds[:-1]]
-                    cost = np.where(matches <= need, size + met + n * met / matches, np.inf)
-                    best, least = np.where(cost < least, matches, best), np.minimum(cost, least)
-                size = np.where(n > 0, np.minimum(n, n - need + best), 0)
-                chosen = six_bytes(values[order[spread(bounds[:-1], size)]] >> U64(64 - TOKEN_BITS)).reshape(-1)
-                ends = np.append(0, 6 * np.cumsum(size))
-                blobs = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(chosen.tobytes())]).cast(pa.binary())
-                near = least_hash(values, bounds, 1) << U64(32) | least_hash(values, bounds, 2)
-                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("key"), pa.array(n), pa.array(nodes, mask=n == 0), pa.array(near.view(np.int64)), parities(values, bounds), blobs], schema.names)
+                values, size = arranged(values, bounds, classes, percent)
+                prefix = blobs(values[spread(bounds[:-1], size)] >> U64(64 - TOKEN_BITS), size)
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("key"), pa.array(n), pa.array(nodes, mask=n == 0), prefix], schema.names)
 
     return rows.mapInArrow(tidy(run), schema)
 
 
-def postings(nodes: DataFrame, parts: int, percent: int) -> DataFrame:
-    """(part, run): prefix shingles of all nodes in ascending order, dealt by value."""
+def posted(batch: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shingle, row of the batch, whether it is early in its set) of all prefix shingles of (node, n, prefix)."""
+    token, counts = tokens_in(batch.column("prefix"))
+    early = spread(np.zeros(len(counts), np.int64), counts) < np.repeat(first_of(batch.column("n").to_numpy(), percent), counts)
+    return token, np.repeat(np.arange(len(counts)), counts), early
+
+
+def postings(nodes: DataFrame, hot, parts: int, percent: int, split: int) -> DataFrame:
+    """(part, run): prefix shingles of all nodes in ascending order, dealt by value; without those in `split` sets or more."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, owners = [], 0, 0
+        classes = Classes(*(x[hot.value[1] >= np.log2(split)] for x in hot.value))
 
         def flush() -> pa.RecordBatch:
-            node, n, near, token, owner, early = (np.concatenate(x) for x in zip(*held, strict=True))
+            node, n, token, owner, early = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.argsort(token)
             token, owner, early = token[order], owner[order], early[order]
             bounds = by_part(token, TOKEN_BITS, parts)
             full = np.flatnonzero(np.diff(bounds))
-            blobs = []
+            runs = []
             for a, b in zip(bounds[full], bounds[full + 1], strict=True):
                 who, local = np.unique(owner[a:b], return_inverse=True)
-                blobs.append(pack(deltas(token[a:b]), local.astype(np.uint32), early[a:b].astype(np.uint8), node[who].astype(np.uint64), n[who].astype(np.uint32), near[who].view(np.uint64)))
-            return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(blobs, pa.binary())], ["part", "run"])
+                runs.append(pack(deltas(token[a:b]), local.astype(np.uint32), early[a:b].astype(np.uint8), node[who].astype(np.uint64), n[who].astype(np.uint32)))
+            return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(runs, pa.binary())], ["part", "run"])
 
-        owners = 0
         for batch in batches:
-            raw, offsets = utf8(batch.column("prefix"))
-            wide = np.zeros((len(raw) // 6, 8), np.uint8)
-            wide[:, :6] = raw.reshape(-1, 6)
-            token, counts = wide.reshape(-1).view("<u8"), np.diff(offsets) // 6
-            n, node, near = (batch.column(c).to_numpy() for c in ("n", "node", "near"))
-            early = spread(np.zeros(len(counts), np.int64), counts) < np.repeat(first_of(n, percent), counts)
-            held.append((node, n, near, token, owners + np.repeat(np.arange(len(n)), counts), early))
-            owners += len(n)
+            token, owner, early = posted(batch, percent)
+            if len(classes.tokens):
+                few = classes.of(token << U64(64 - TOKEN_BITS)) == 0
+                token, owner, early = token[few], owner[few], early[few]
+            held.append((batch.column("node").to_numpy(), batch.column("n").to_numpy(), token, owners + owner, early))
+            owners += batch.num_rows
             size += len(token)
             if size >= FLUSH:
                 yield flush()
@@ -269,58 +276,69 @@ def postings(nodes: DataFrame, parts: int, percent: int) -> DataFrame:
         if size:
             yield flush()
 
-    return nodes.select("node", "n", "near", "prefix").mapInArrow(tidy(deal), "part int, run binary")
+    return nodes.select("node", "n", "prefix").mapInArrow(tidy(deal), "part int, run binary")
 
 
-MET = "kind int, a long, b long, n long, early boolean"
+def starts_of(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of rows that are equal in all columns begin."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for x in columns:
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
 
 
 def met(runs: DataFrame, percent: int) -> DataFrame:
-    """Of each part: pairs to verify (kind 0: a, b), and the nodes of groups over SMALL (kind 1: shingle a, node b)."""
+    """(hub, node) of the nodes that some shingle brings together, the hub with itself."""
 
     def merge(group: pa.Table) -> pa.Table:
-        columns: list[list[np.ndarray]] = [[], [], [], [], []]
+        columns: list[list[np.ndarray]] = [[], [], [], []]
         for raw in group.column("run").to_pylist():
-            token, local, early, node, n, near = unpack(raw)
-            for to, x in zip(columns, (undeltas(token), node[local], n[local], early > 0, near[local]), strict=True):
+            token, local, early, node, n = unpack(raw)
+            for to, x in zip(columns, (undeltas(token), node[local], n[local].astype(np.int64), early > 0), strict=True):
                 to.append(x)
-        token, node, n, early, near = (np.concatenate(x) for x in columns)
-        order = np.lexsort((node, n, token))
-        order = order[np.append(True, (token[order][1:] != token[order][:-1]) | (node[order][1:] != node[order][:-1]))]
-        token, node, n, early, near = token[order], node[order].astype(np.int64), n[order].astype(np.int64), early[order], near[order]
-        first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-        size = np.diff(np.append(first, len(token)))
-        # a group where the shingle is early in no set brings no pair
-        size_of = np.repeat(np.where(np.maximum.reduceat(early, first), size, 0), size)
-        pairs = []
-
-        def beside(order: np.ndarray, step: int, small: bool) -> None:
-            """Pairs of nodes `step` apart in this order of each group."""
-            i, j = order[:-step], order[step:]
-            ok = (token[i] == token[j]) & (size_of[i] > 0) & ((size_of[i] <= SMALL) == small) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
-            ok &= (early[i] & (n[i] <= n[j])) | (early[j] & (n[j] <= n[i]))
-            i, j = i[ok], j[ok]
-            pairs.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1))
-
-        by_size, big = np.arange(len(token)), np.flatnonzero(size_of > SMALL)
-        for step in range(1, SMALL):
-            beside(by_size, step, True)
-        beside(big, 1, False)
-        for hashed in (near >> U64(32), near & U64(0xFFFFFFFF)):
-            beside(big[np.lexsort((n[big], hashed[big], token[big]))], 1, False)
-        pair = np.unique(np.concatenate(pairs), axis=0)
-        none = np.zeros(len(pair), np.int64)
-        return pa.table(
-            {
-                "kind": np.repeat(np.array([0, 1], np.int32), [len(pair), len(big)]),
-                "a": np.concatenate([pair[:, 0], token[big].astype(np.int64)]),
-                "b": np.concatenate([pair[:, 1], node[big]]),
-                "n": np.concatenate([none, n[big]]),
-                "early": np.concatenate([none > 0, early[big]]),
-            }
-        )
-
-    return runs.groupBy("part").applyInArrow(merge, MET)
+        token, node, n, early = (np.concatenate(x) for x in columns)
+        order = np.lexsort((node, ~early, n, token))
+        order = order[starts_of(token[order], node[order])]
+        token, node, n, early = token[order], node[order].astype(np.int64), n[order], early[order]
+        # nodes of one shingle ascend by size; where the next one is too large, no pair crosses
+        first = starts_of(token)
+        gap = np.zeros(len(token), bool)
+        gap[first] = True
+        gap[1:] |= 100 * n[:-1] < percent * n[1:]
+        run = np.cumsum(gap)
+        # the shingle has to be early in the smaller set of a pair
+        last_early = np.maximum.accumulate(np.where(early, np.arange(len(token)), -1))
+        before = np.append(-1, last_early[:-1]) if len(token) else last_early
+        useful = (before >= 0) & (run[before] == run) & (100 * n[before] >= percent * n)
+        useful[:-1] |= early[:-1] & (run[:-1] == run[1:])
+        run, node = run[useful], node[useful]
+        start = starts_of(run)
+        size = np.diff(np.append(start, len(run)))
+        hub = np.repeat(np.minimum.reduceat(node, start), size) if len(start) else node
+        several = np.repeat(size, size) > 1
+        hub, node = hub[several], node[several]
+        order = np.lexsort((node, hub))
+        order = order[starts_of(hub[order], node[order])]
+        return pa.table({"hub": hub[order], "node": node[order]})
+
+    return runs.groupBy("part").applyInArrow(merge, "hub long, node long")
+
+
+def met_by_split(nodes: DataFrame, hot, percent: int, split: int, salts: int = 64) -> DataFrame:
+    """met() for shingles in `split` sets or more: their hubs by aggregation, and the nodes by a join with `salts` copies of these few rows."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = Classes(*(x[hot.value[1] >= np.log2(split)] for x in hot.value))
+        for batch in batches:
+            token, owner, _ = posted(batch, percent)
+            many = classes.of(token << U64(64 - TOKEN_BITS)) > 0
+            yield pa.RecordBatch.from_arrays([pa.array(token[many].astype(np.int64)), batch.column("node").take(pa.array(owner[many]))], ["token", "node"])
+
+    rows = nodes.select("node", "n", "prefix").mapInArrow(tidy(listed), "token long, node long")
+    hubs = rows.groupBy("token").agg(F.min("node").alias("hub"))
+    salted = hubs.select("token", "hub", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    return rows.withColumn("salt", F.pmod("node", F.lit(salts)).cast("int")).join(salted, ["token", "salt"]).select("hub", "node")
 
 
 def row_filter(rows: DataFrame) -> np.ndarray:
@@ -332,146 +350,162 @@ def row_filter(rows: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def sets_of(df: DataFrame, key: str, text: str, reps: DataFrame) -> DataFrame:
-    """(node, n, members) of the nodes in `reps` (node, row), from their texts."""
-    spark = df.sparkSession
-    wanted = spark.sparkContext.broadcast(row_filter(reps))
-    rows = df.select(F.xxhash64(key, text).alias("row"), F.col(text).alias("text"))
+def sets_of(df: DataFrame, text: str, reps: DataFrame, hot, percent: int) -> DataFrame:
+    """(node, n, size, members) of the nodes in `reps` (node, row), from their texts: shingles in order, the first `size` are the prefix."""
+    wanted = df.sparkSession.sparkContext.broadcast(row_filter(reps))
+    rows = df.select(F.xxhash64(text).alias("row"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = wanted.value
+        bits, classes = wanted.value, Classes(*hot.value)
         for batch in batches:
             bit = np.mod(batch.column("row").to_numpy(), FILTER_BITS)
             batch = batch.filter(pa.array((bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1))
             for part in slices(batch, "text"):
                 values, bounds, nodes = shingles(part, "text")
-                members = [pack(deltas(values[a:b] >> U64(64 - TOKEN_BITS))) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(nodes), pa.array(np.diff(bounds)), pa.array(members, pa.binary())], ["row", "node", "n", "members"])
+                n = np.diff(bounds)
+                values, size = arranged(values, bounds, classes, percent)
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(nodes), pa.array(n), pa.array(size), blobs(values >> U64(64 - TOKEN_BITS), n)], ["row", "node", "n", "size", "members"])
+
+    found = rows.mapInArrow(tidy(run), "row long, node long, n long, size long, members binary")
+    one = reps.toDF("rep", "rep_row")
+    return found.join(one, (F.col("node") == F.col("rep")) & (F.col("row") == F.col("rep_row"))).dropDuplicates(["node"]).select("node", "n", "size", "members")
+
+
+def counts_between(owner: np.ndarray, token: np.ndarray, k: int) -> np.ndarray:
+    """Matrix of the tokens that any two of k owners share: products of 0/1 matrices for frequent tokens, pairs of owners for rare ones."""
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    start = starts_of(token)
+    frequency = np.diff(np.append(start, len(token)))
+    out = np.zeros((k, k), np.float32)
+    each = np.repeat(frequency, frequency)
+    column = np.repeat(np.cumsum(frequency >= DENSE) - 1, frequency)
+    often = np.flatnonzero(each >= DENSE)
+    who, where = owner[often], column[often]
+    for at in range(0, int(where[-1]) + 1 if len(where) else 0, COLUMNS):
+        a, b = np.searchsorted(where, (at, at + COLUMNS))
+        part = np.zeros((k, min(COLUMNS, int(where[-1]) + 1 - at)), np.float32)
+        part[who[a:b], where[a:b] - at] = 1
+        out += part @ part.T
+    rare = (each < DENSE) & (each > 1)
+    token, owner = token[rare], owner[rare].astype(np.int64)
+    step, codes, size = 1, [], 0
+    while step < DENSE and len(token) > step:
+        same = token[step:] == token[:-step]
+        if not same.any():
+            break
+        a, b = owner[:-step][same], owner[step:][same]
+        codes.append(np.minimum(a, b) * k + np.maximum(a, b))
+        size += len(a)
+        step += 1
+        if size > 1 << 21 or step == DENSE:
+            add_pairs(out, codes, k)
+            codes, size = [], 0
+    add_pairs(out, codes, k)
+    return out
 
-    found = rows.mapInArrow(tidy(run), "row long, node long, n long, members binary")
-    return found.join(reps, ["row", "node"], "left_semi").drop("row").groupBy("node").agg(F.first("n").alias("n"), F.first("members").alias("members"))
 
+def add_pairs(out: np.ndarray, codes: list[np.ndarray], k: int) -> None:
+    if codes:
+        code, times = np.unique(np.concatenate(codes), return_counts=True)
+        out[code // k, code % k] += times
+        out[code % k, code // k] += times
+
+
+def shared_by(owner: np.ndarray, token: np.ndarray, first: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Tokens that each pair of owners (i, j) shares, by search; tokens of owner x start at first[x]."""
+    keys = np.sort(owner.astype(U64) << U64(TOKEN_BITS) | token)
+    i, j = np.where(n[i] <= n[j], i, j), np.where(n[i] <= n[j], j, i)
+    out = np.zeros(len(i), np.int64)
+    ends = np.cumsum(n[i])
+    a = 0
+    while a < len(i):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + (1 << 21), side="right")))
+        ask = np.repeat(j[a:b], n[i[a:b]]).astype(U64) << U64(TOKEN_BITS) | token[spread(first[i[a:b]], n[i[a:b]])]
+        hit = keys[np.minimum(np.searchsorted(keys, ask), len(keys) - 1)] == ask
+        out[a:b] = np.add.reduceat(hit.astype(np.int64), np.cumsum(n[i[a:b]]) - n[i[a:b]])
+        a = b
+    return out
 
-def tokens_of(prefix: pa.BinaryScalar) -> np.ndarray:
-    raw = np.frombuffer(prefix.as_buffer(), np.uint8)
-    wide = np.zeros((len(raw) // 6, 8), np.uint8)
-    wide[:, :6] = raw.reshape(-1, 6)
-    return wide.reshape(-1).view("<u8")
 
+def linked(group: np.ndarray, component: np.ndarray, n: np.ndarray, size: np.ndarray, token: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one group and different components whose sets are similar; prefixes must share enough first."""
+    k = len(n)
+    first = np.cumsum(n) - n
+    owner = np.repeat(np.arange(k), n)
+    inside = np.repeat(size, n) > spread(np.zeros(k, np.int64), n)
+    within = counts_between(owner[inside], token[inside] ^ mix(group)[owner[inside]], k)
+    rest = n - size
+    pairs = []
+    for a in range(0, k, 256):
+        x = slice(a, min(a + 256, k))
+        share = within[x] > 0
+        share &= group[x, None] == group[None, :]
+        share &= component[x, None] != component[None, :]
+        share &= np.arange(a, a + len(share))[:, None] < np.arange(k)[None, :]
+        i, j = np.nonzero(share)
+        i += a
+        enough = (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (within[i, j] >= in_prefixes(n[i], rest[i], n[j], rest[j], percent))
+        pairs.append((i[enough], j[enough]))
+    del within
+    i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    if not len(i):
+        return i, j
+    if len(i) <= 16 * k:
+        both = shared_by(owner, token, first, n, i, j)
+    else:
+        both = counts_between(owner, token ^ mix(group)[owner], k)[i, j].astype(np.int64)
+    good = 100 * both >= percent * (n[i] + n[j] - both)
+    return i[good], j[good]
+
+
+def compared(rows: DataFrame, percent: int) -> DataFrame:
+    """Forest (a, b) of the links among rows (hub, block, node, component, n, size, members) of equal hub and block.
+
+    A task has one block in memory, of bounded size, or some small ones.
+    """
+    names = ["hub", "block", "node", "component", "n", "size", "members"]
 
-def promising(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose prefixes share enough."""
-    sides = info.select("node", "n", "prefix")
-    both = pairs.join(sides.toDF("a", "n_a", "prefix_a"), "a").join(sides.toDF("b", "n_b", "prefix_b"), "b")
+    def links(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        hub, block, node, component, n, size = (np.concatenate(x) for x in list(zip(*held, strict=True))[:6])
+        token = np.concatenate([x[6] for x in held])
+        group = np.zeros(len(hub), np.int64)
+        group[starts_of(hub, block)] = 1
+        i, j = linked(np.cumsum(group), component, n, size, token, percent)
+        a, b = roots(node[i], node[j]) if len(i) else (node[:0], node[:0])
+        return pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []  # of whole groups, but for the last one
+        rows = shingles = 0
         for batch in batches:
-            n, m = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
-            sides = [[tokens_of(x) for x in batch.column(c)] for c in ("prefix_a", "prefix_b")]
-            rest, rest_m = (size - np.array([len(x) for x in side]) for size, side in zip((n, m), sides, strict=True))
-            shared = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sides, strict=True)])
-            yield batch.filter(pa.array(shared >= in_prefixes(n, rest, m, rest_m, percent))).select(["a", "b"])
-
-    return both.select("a", "b", "n_a", "prefix_a", "n_b", "prefix_b").mapInArrow(tidy(run), "a long, b long")
-
-
-def verified(df: DataFrame, key: str, text: str, listed: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets are similar."""
-    ends = lambda x: x.select(F.col("a").alias("node")).union(x.select("b")).distinct()
-    info = listed.join(ends(pairs), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("row").alias("row"))
-    info = stored(info, "nodes")
-    pairs = stored(promising(pairs, info, percent), "pairs")
-    reps = stored(info.select("node", "row").join(ends(pairs), "node", "left_semi"), "representatives")
-    sets = stored(sets_of(df, key, text, reps), "sets")
-    both = pairs.join(sets.toDF("a", "n_a", "set_a"), "a").join(sets.toDF("b", "n_b", "set_b"), "b")
-
-    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = np.zeros(batch.num_rows, bool)
-            last = None
-            for i, (a, x, b, y) in enumerate(zip(batch.column("n_a").to_pylist(), batch.column("set_a"), batch.column("n_b").to_pylist(), batch.column("set_b"), strict=True)):
-                y = y.as_buffer()
-                if last is None or not last[0].equals(y):
-                    last = y, undeltas(unpack(y)[0])
-                left, right = undeltas(unpack(x.as_buffer())[0]), last[1]
-                place = np.minimum(np.searchsorted(right, left), len(right) - 1)
-                both = int((right[place] == left).sum())
-                good[i] = 100 * both >= percent * (a + b - both)
-            yield batch.filter(pa.array(good)).select(["a", "b"])
-
-    return both.select("a", "b", "n_a", "set_a", "n_b", "set_b").mapInArrow(tidy(similar), "a long, b long")
-
-
-def mixed(big: DataFrame, labels: DataFrame, marks: DataFrame) -> DataFrame:
-    """(token, node, n, early, component, marks) of the shingles whose nodes are in different components, ordered within tasks by shingle and n."""
-    rows = big.select(F.col("a").alias("token"), F.col("b").alias("node"), "n", "early")
-    rows = rows.join(labels, "node", "left").withColumn("component", F.coalesce("root", "node")).drop("root")
-    several = rows.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("early").alias("any")).filter("x <> y and any").select("token")
-    return rows.join(several, "token", "left_semi").join(marks, "node").repartition("token").sortWithinPartitions("token", "n")
-
-
-def by_token(batches: Iterator[pa.RecordBatch], names: list[str], each) -> Iterator[pa.RecordBatch]:
-    """each(*columns) of every shingle's rows; a shingle may go on in the next batch."""
-    held: list = []
-    for batch in batches:
-        held.append([np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) if c == "marks" else batch.column(c).to_numpy(zero_copy_only=False) for c in names])
-        columns = [np.concatenate(x) for x in zip(*held, strict=True)]
-        first = np.flatnonzero(np.append(True, columns[0][1:] != columns[0][:-1]))
-        for a, b in zip(first[:-1], first[1:], strict=True):
-            yield from each(*(c[a:b] for c in columns))
-        held = [[c[first[-1] :] for c in columns]]
-    if held:
-        yield from each(*held[0])
-
-
-def beside_components(big: DataFrame, labels: DataFrame, marks: DataFrame, percent: int, seed: int) -> DataFrame:
-    """Pairs (a, b) of nodes in different components that stand side by side in a larger group, in an order drawn for each group: a few a node."""
-
-    def emit(token, node, n, early, component, marks) -> Iterator[pa.RecordBatch]:
-        order = np.argsort(mix(node.view(U64) ^ mix(token.view(U64) + U64(seed))))
-        i, j = order[:-1], order[1:]
-        ok = (component[i] != component[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
-        ok &= ((early[i] & (n[i] <= n[j])) | (early[j] & (n[j] <= n[i]))) & alike(n[i], n[j], marks[i], marks[j], percent)
-        i, j = node[i[ok]], node[j[ok]]
-        if len(i):
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], ["a", "b"])
-
-    names = ["token", "node", "n", "early", "component", "marks"]
-    return mixed(big, labels, marks).select(*names).mapInArrow(lambda batches: by_token(batches, names, emit), "a long, b long").distinct()
-
-
-def between_components(big: DataFrame, labels: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    """All pairs (a, b) of nodes in different components that meet in a larger group."""
-
-    def emit(token, node, n, early, component, marks) -> Iterator[pa.RecordBatch]:
-        """Pairs of one shingle's nodes, which ascend by n, so that the first of a pair is the smaller."""
-        last = np.searchsorted(n, n * 100 // percent, side="right")
-        counts = np.where(early, last - np.arange(len(n)) - 1, 0)
-        start = 0
-        ends = np.cumsum(counts)
-        while start < len(n):
-            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + 500_000, side="right")))
-            i = np.repeat(np.arange(start, stop), counts[start:stop])
-            j = spread(np.arange(start, stop) + 1, counts[start:stop])
-            ok = component[i] != component[j]
-            i, j = i[ok], j[ok]
-            ok = alike(n[i], n[j], marks[i], marks[j], percent)
-            i, j = node[i[ok]], node[j[ok]]
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], ["a", "b"])
-            start = stop
-
-    names = ["token", "node", "n", "early", "component", "marks"]
-    return mixed(big, labels, marks).select(*names).mapInArrow(lambda batches: by_token(batches, names, emit), "a long, b long").distinct()
-
-
-def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, hot_limit: int = HOT_LIMIT) -> DataFrame:
+            for part in slices(batch, "members", 1 << 20):
+                columns = [part.column(c).to_numpy() for c in names[:6]]
+                token, counts = tokens_in(part.column("members"))
+                ends = np.append(0, np.cumsum(counts))
+                bounds = np.append(starts_of(columns[0], columns[1]), len(counts))
+                for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    same = held and held[-1][0][-1] == columns[0][a] and held[-1][1][-1] == columns[1][a]
+                    if not same and (rows >= STEP_NODES or shingles >= STEP_SHINGLES):
+                        yield links(held)
+                        held, rows, shingles = [], 0, 0
+                    held.append([*(c[a:b] for c in columns), token[ends[a] : ends[b]]])
+                    rows += b - a
+                    shingles += int(ends[b] - ends[a])
+        if rows > 1:
+            yield links(held)
+
+    dealt = rows.select(*names).repartition("hub", "block").sortWithinPartitions("hub", "block")
+    return dealt.mapInArrow(tidy(run), "a long, b long")
+
+
+def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, hot_limit: int = HOT_LIMIT, block_nodes: int = BLOCK_NODES, split: int = SPLIT_FREQUENCY) -> DataFrame:
     """(row, key, n, component) of each row of `df`.
 
-    `n` is the number of distinct shingles, `row` a hash of key and text, and `component` is
+    `n` is the number of distinct shingles, `row` a hash of the text, and `component` is
     the same for all rows that links connect. A text with fewer than five words is one shingle;
     null and empty texts, and those without words, have component null and no links. Rows that
-    repeat, and rows with a null key, take part like others.
+    repeat, and rows with a null key, take part like others. An empty table gives an empty one.
     """
     spark = df.sparkSession
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -479,21 +513,53 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", perce
     hot = spark.sparkContext.broadcast(hottest(counted, hot_limit))
     listed = stored(prefixes(df, key, text, hot, percent), "prefixes")
     nodes = listed.filter("n > 0")
-    groups = stored(met(postings(nodes, parts, percent), percent), "met")
-    pairs = stored(groups.filter("kind = 0").select("a", "b").distinct(), "pairs")
-    links = stored(verified(df, key, text, nodes, pairs, percent), "links")
-    labels, big = connected_components(links), groups.filter("kind = 1")
-    marks = nodes.groupBy("node").agg(F.first("marks").alias("marks"))
-    for seed in range(NEIGHBOUR_ROUNDS + 1):
-        last = seed == NEIGHBOUR_ROUNDS
-        more = between_components(big, labels, marks, percent) if last else beside_components(big, labels, marks, percent, seed)
-        more = stored(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
-        if not more.isEmpty():
-            pairs = pairs.unionByName(more)
-            links = links.unionByName(stored(verified(df, key, text, nodes, more, percent), "links"))
-            labels = connected_components(links)
-    joined = listed.select("row", "key", "n", "node").join(labels, "node", "left")
-    return joined.select("row", "key", "n", F.coalesce("root", "node").alias("component"))
+    bundles = met(postings(nodes, hot, parts, percent, split), percent)
+    if (hot.value[1] >= np.log2(split)).any():
+        bundles = bundles.unionByName(met_by_split(nodes, hot, percent, split))
+    bundles = stored(bundles.distinct(), "bundles")
+    reps = stored(nodes.join(bundles.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n")), "nodes")
+    sets = stored(sets_of(df, text, reps.select("node", "row"), hot, percent), "sets")
+    # blocks of each bundle; one, unless it is large
+    weighed = bundles.join(reps.select("node", "n"), "node")
+    needed = F.ceil(F.greatest(F.count("*") / block_nodes, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    large = stored(weighed.groupBy("hub").agg(needed.alias("blocks")).filter("blocks > 1"), "large")
+    labels, links, none = None, None, large.isEmpty()
+    for seed in range(1 if none else DEALS):
+        rows = bundles.join(large, "hub", "left" if seed == 0 else "inner")
+        rows = labelled(rows, labels).select("hub", "node", "component", F.pmod(F.xxhash64("node", F.lit(seed)), F.coalesce("blocks", F.lit(1))).alias("block"))
+        more = stored(compared(rows.join(sets, "node"), percent), "links")
+        links = links.unionByName(more) if links else more
+        labels = connected_components(links)
+    if not none:
+        links = links.unionByName(stored(compared(across(bundles.join(large, "hub"), labels, block_nodes).join(sets, "node"), percent), "links"))
+        labels = connected_components(links)
+    joined = labelled(listed.select("row", "key", "n", "node"), labels)
+    return joined.select("row", "key", "n", "component")
+
+
+def labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """`rows` with the component of each node; without labels, a node is its own."""
+    if labels is None:
+        return rows.withColumn("component", F.col("node"))
+    return rows.join(labels, "node", "left").withColumn("component", F.coalesce("root", "node")).drop("root")
+
+
+def across(members: DataFrame, labels: DataFrame, block_nodes: int) -> DataFrame:
+    """(hub, block, node, component): nodes outside their bundle's largest component, in blocks, each block beside each block of the whole bundle.
+
+    Bundles of one component are done. `members` are (hub, node, blocks) of the large bundles.
+    """
+    rows = stored(labelled(members, labels), "members")
+    counts = rows.groupBy("hub", "component").agg(F.count("*").alias("size"))
+    most = counts.groupBy("hub").agg(F.max(F.struct("size", "component")).alias("most"), F.sum("size").alias("all"))
+    open_ = most.filter("most.size < all").select("hub", F.col("most.component").alias("largest"), F.ceil((F.col("all") - F.col("most.size")) / block_nodes).cast("int").alias("outer"))
+    rows = rows.join(open_, "hub")
+    place = lambda seed, blocks: F.pmod(F.xxhash64("node", F.lit(seed)), blocks)
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), blocks - 1))
+    outside = rows.filter("component <> largest").select("hub", "node", "component", "blocks", place(5, F.col("outer")).alias("i"), every(F.col("blocks")).alias("j"))
+    whole = rows.select("hub", "node", "component", "blocks", every(F.col("outer")).alias("i"), place(6, F.col("blocks")).alias("j"))
+    both = outside.unionByName(whole).distinct()  # a node may be on both sides of its own block
+    return both.select("hub", "node", "component", (F.col("i").cast("long") * F.col("blocks") + F.col("j")).alias("block"))
 
 
 def join_result(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -504,14 +570,21 @@ def join_result(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group: that of the smallest key (null last), then smallest row hash. Rows without words all stay."""
-    rows = similar_groups(df, key, text)
-    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row"))["row"]
-    kept = rows.filter("component is not null").groupBy("component").agg(first.alias("row")).select("row")
-    wordless = rows.filter("component is null").select("row")
-    hashed = df.withColumn("__row", F.xxhash64(key, text))
-    names = df.columns
-    one = hashed.join(kept.withColumnRenamed("row", "__row"), "__row", "left_semi")
-    one = one.groupBy("__row").agg(F.min(F.struct(*names)).alias("x")).select(*(F.col("x").getField(c).alias(c) for c in names))
-    bare = hashed.join(wordless.distinct().withColumnRenamed("row", "__row"), "__row", "left_semi").select(*names)
-    return one.unionByName(bare)
+    """One row of each group: that of the smallest key (null last), then smallest text hash. Rows without words all stay.
+
+    Of rows equal in key and text one stays; if other columns differ, any of them. Columns may be of any type and name.
+    """
+    rows = stored(similar_groups(df, key, text), "groups")
+    none = F.col("key").isNull().alias("none")
+    kept = rows.filter("component is not null").groupBy("component").agg(F.min(F.struct(none, "key", "row")).alias("x")).select("x.key", "x.row")
+    wordless = rows.filter("component is null").select("key", "row").distinct()
+    ids = kept.unionByName(wordless)
+    repeated = rows.filter("component is not null").groupBy("key", "row").count().filter("count > 1").select("key", "row", F.lit(True).alias("again"))
+    # names that no column of `df` has; null keys meet too
+    k, r, again_ = (f"__{x}_{len(''.join(df.columns))}" for x in ("key", "row", "again"))
+    marked = df.withColumns({k: F.struct(F.col(key).alias("x")), r: F.xxhash64(text)})
+    boxed = lambda x: x.withColumn("key", F.struct(F.col("key").alias("x"))).withColumnsRenamed({"key": k, "row": r})
+    left = marked.join(boxed(ids), [k, r], "left_semi").join(boxed(repeated.withColumnRenamed("again", again_)), [k, r], "left")
+    once = left.filter(F.col(again_).isNull()).select(*df.columns)
+    again = left.filter(F.col(again_)).dropDuplicates([k, r]).select(*df.columns)
+    return once.unionByName(again)
