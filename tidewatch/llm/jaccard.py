@@ -219,8 +219,8 @@ def tokens_in(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(df: DataFrame, key: str, text: str, hot, percent: int) -> DataFrame:
-    """(row, key, n, node, prefix) of each text; prefix holds six bytes a shingle, in order. `row` is a hash of the text."""
-    rows = df.select(F.xxhash64(text).alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
+    """(row, key, n, node, prefix) of each text; prefix holds six bytes a shingle, in order. `row` is a hash of key and text."""
+    rows = df.select(F.xxhash64(key, text).alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
     schema = T.StructType([*rows.drop("text").schema, *T.DataType.fromDDL("n long, node long, prefix binary")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,25 +350,17 @@ def row_filter(rows: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def sets_of(df: DataFrame, text: str, reps: DataFrame, hot, percent: int) -> DataFrame:
-    """(node, n, size, members) of the nodes in `reps` (node, row), from their texts: shingles in order, the first `size` are the prefix."""
+def texts_of(df: DataFrame, key: str, text: str, reps: DataFrame) -> DataFrame:
+    """(row, text) of the rows of `df` that may be in `reps` (row): all of those, and few others."""
     wanted = df.sparkSession.sparkContext.broadcast(row_filter(reps))
-    rows = df.select(F.xxhash64(text).alias("row"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, classes = wanted.value, Classes(*hot.value)
+        bits = wanted.value
         for batch in batches:
             bit = np.mod(batch.column("row").to_numpy(), FILTER_BITS)
-            batch = batch.filter(pa.array((bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1))
-            for part in slices(batch, "text"):
-                values, bounds, nodes = shingles(part, "text")
-                n = np.diff(bounds)
-                values, size = arranged(values, bounds, classes, percent)
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(nodes), pa.array(n), pa.array(size), blobs(values >> U64(64 - TOKEN_BITS), n)], ["row", "node", "n", "size", "members"])
+            yield batch.filter(pa.array((bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1))
 
-    found = rows.mapInArrow(tidy(run), "row long, node long, n long, size long, members binary")
-    one = reps.toDF("rep", "rep_row")
-    return found.join(one, (F.col("node") == F.col("rep")) & (F.col("row") == F.col("rep_row"))).dropDuplicates(["node"]).select("node", "n", "size", "members")
+    return df.select(F.xxhash64(key, text).alias("row"), F.col(text).alias("text")).mapInArrow(tidy(run), "row long, text string")
 
 
 def counts_between(owner: np.ndarray, token: np.ndarray, k: int) -> np.ndarray:
@@ -459,16 +451,15 @@ def linked(group: np.ndarray, component: np.ndarray, n: np.ndarray, size: np.nda
     return i[good], j[good]
 
 
-def compared(rows: DataFrame, percent: int) -> DataFrame:
-    """Forest (a, b) of the links among rows (hub, block, node, component, n, size, members) of equal hub and block.
+def compared(rows: DataFrame, hot, percent: int) -> DataFrame:
+    """Forest (a, b) of the links among rows (hub, block, node, component, text) of equal hub and block.
 
-    A task has one block in memory, of bounded size, or some small ones.
+    A task has one block in memory, of bounded size, or some small ones. A node may be there twice.
     """
-    names = ["hub", "block", "node", "component", "n", "size", "members"]
+    names = ["hub", "block", "node", "component"]
 
     def links(held: list[list[np.ndarray]]) -> pa.RecordBatch:
-        hub, block, node, component, n, size = (np.concatenate(x) for x in list(zip(*held, strict=True))[:6])
-        token = np.concatenate([x[6] for x in held])
+        hub, block, node, component, n, size, token = (np.concatenate(x) for x in zip(*held, strict=True))
         group = np.zeros(len(hub), np.int64)
         group[starts_of(hub, block)] = 1
         i, j = linked(np.cumsum(group), component, n, size, token, percent)
@@ -476,33 +467,36 @@ def compared(rows: DataFrame, percent: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = Classes(*hot.value)
         held: list[list[np.ndarray]] = []  # of whole groups, but for the last one
-        rows = shingles = 0
+        rows = shingled = 0
         for batch in batches:
-            for part in slices(batch, "members", 1 << 20):
-                columns = [part.column(c).to_numpy() for c in names[:6]]
-                token, counts = tokens_in(part.column("members"))
-                ends = np.append(0, np.cumsum(counts))
-                bounds = np.append(starts_of(columns[0], columns[1]), len(counts))
+            for part in slices(batch, "text"):
+                columns = [part.column(c).to_numpy() for c in names]
+                values, ends, _ = shingles(part, "text")
+                n = np.diff(ends)
+                values, size = arranged(values, ends, classes, percent)
+                values >>= U64(64 - TOKEN_BITS)
+                bounds = np.append(starts_of(columns[0], columns[1]), len(n))
                 for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                     same = held and held[-1][0][-1] == columns[0][a] and held[-1][1][-1] == columns[1][a]
-                    if not same and (rows >= STEP_NODES or shingles >= STEP_SHINGLES):
+                    if not same and (rows >= STEP_NODES or shingled >= STEP_SHINGLES):
                         yield links(held)
-                        held, rows, shingles = [], 0, 0
-                    held.append([*(c[a:b] for c in columns), token[ends[a] : ends[b]]])
+                        held, rows, shingled = [], 0, 0
+                    held.append([*(c[a:b] for c in columns), n[a:b], size[a:b], values[ends[a] : ends[b]]])
                     rows += b - a
-                    shingles += int(ends[b] - ends[a])
+                    shingled += int(ends[b] - ends[a])
         if rows > 1:
             yield links(held)
 
-    dealt = rows.select(*names).repartition("hub", "block").sortWithinPartitions("hub", "block")
+    dealt = rows.select(*names, "text").repartition("hub", "block").sortWithinPartitions("hub", "block")
     return dealt.mapInArrow(tidy(run), "a long, b long")
 
 
 def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, hot_limit: int = HOT_LIMIT, block_nodes: int = BLOCK_NODES, split: int = SPLIT_FREQUENCY) -> DataFrame:
     """(row, key, n, component) of each row of `df`.
 
-    `n` is the number of distinct shingles, `row` a hash of the text, and `component` is
+    `n` is the number of distinct shingles, `row` a hash of key and text, and `component` is
     the same for all rows that links connect. A text with fewer than five words is one shingle;
     null and empty texts, and those without words, have component null and no links. Rows that
     repeat, and rows with a null key, take part like others. An empty table gives an empty one.
@@ -517,21 +511,22 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", perce
     if (hot.value[1] >= np.log2(split)).any():
         bundles = bundles.unionByName(met_by_split(nodes, hot, percent, split))
     bundles = stored(bundles.distinct(), "bundles")
-    reps = stored(nodes.join(bundles.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n")), "nodes")
-    sets = stored(sets_of(df, text, reps.select("node", "row"), hot, percent), "sets")
+    reps = nodes.join(bundles.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"))
+    bundles = stored(bundles.join(reps, "node"), "members")
+    texts = texts_of(df, key, text, bundles)
     # blocks of each bundle; one, unless it is large
-    weighed = bundles.join(reps.select("node", "n"), "node")
     needed = F.ceil(F.greatest(F.count("*") / block_nodes, F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    large = stored(weighed.groupBy("hub").agg(needed.alias("blocks")).filter("blocks > 1"), "large")
+    large = stored(bundles.groupBy("hub").agg(needed.alias("blocks")).filter("blocks > 1"), "large")
     labels, links, none = None, None, large.isEmpty()
     for seed in range(1 if none else DEALS):
         rows = bundles.join(large, "hub", "left" if seed == 0 else "inner")
-        rows = labelled(rows, labels).select("hub", "node", "component", F.pmod(F.xxhash64("node", F.lit(seed)), F.coalesce("blocks", F.lit(1))).alias("block"))
-        more = stored(compared(rows.join(sets, "node"), percent), "links")
+        rows = labelled(rows, labels).select("hub", "node", "row", "component", F.pmod(F.xxhash64("node", F.lit(seed)), F.coalesce("blocks", F.lit(1))).alias("block"))
+        more = stored(compared(rows.join(texts, "row"), hot, percent), "links")
         links = links.unionByName(more) if links else more
         labels = connected_components(links)
     if not none:
-        links = links.unionByName(stored(compared(across(bundles.join(large, "hub"), labels, block_nodes).join(sets, "node"), percent), "links"))
+        rows = across(bundles.join(large, "hub"), labels, block_nodes)
+        links = links.unionByName(stored(compared(rows.join(texts, "row"), hot, percent), "links"))
         labels = connected_components(links)
     joined = labelled(listed.select("row", "key", "n", "node"), labels)
     return joined.select("row", "key", "n", "component")
@@ -545,9 +540,9 @@ def labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def across(members: DataFrame, labels: DataFrame, block_nodes: int) -> DataFrame:
-    """(hub, block, node, component): nodes outside their bundle's largest component, in blocks, each block beside each block of the whole bundle.
+    """(hub, block, node, row, component): nodes outside their bundle's largest component, in blocks, each block beside each block of the whole bundle.
 
-    Bundles of one component are done. `members` are (hub, node, blocks) of the large bundles.
+    Bundles of one component are done. `members` are (hub, node, row, blocks) of the large bundles.
     """
     rows = stored(labelled(members, labels), "members")
     counts = rows.groupBy("hub", "component").agg(F.count("*").alias("size"))
@@ -556,10 +551,10 @@ def across(members: DataFrame, labels: DataFrame, block_nodes: int) -> DataFrame
     rows = rows.join(open_, "hub")
     place = lambda seed, blocks: F.pmod(F.xxhash64("node", F.lit(seed)), blocks)
     every = lambda blocks: F.explode(F.sequence(F.lit(0), blocks - 1))
-    outside = rows.filter("component <> largest").select("hub", "node", "component", "blocks", place(5, F.col("outer")).alias("i"), every(F.col("blocks")).alias("j"))
-    whole = rows.select("hub", "node", "component", "blocks", every(F.col("outer")).alias("i"), place(6, F.col("blocks")).alias("j"))
+    outside = rows.filter("component <> largest").select("hub", "node", "row", "component", "blocks", place(5, F.col("outer")).alias("i"), every(F.col("blocks")).alias("j"))
+    whole = rows.select("hub", "node", "row", "component", "blocks", every(F.col("outer")).alias("i"), place(6, F.col("blocks")).alias("j"))
     both = outside.unionByName(whole).distinct()  # a node may be on both sides of its own block
-    return both.select("hub", "node", "component", (F.col("i").cast("long") * F.col("blocks") + F.col("j")).alias("block"))
+    return both.select("hub", "node", "row", "component", (F.col("i").cast("long") * F.col("blocks") + F.col("j")).alias("block"))
 
 
 def join_result(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -570,7 +565,7 @@ def join_result(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group: that of the smallest key (null last), then smallest text hash. Rows without words all stay.
+    """One row of each group: that of the smallest key (null last), then smallest hash. Rows without words all stay.
 
     Of rows equal in key and text one stays; if other columns differ, any of them. Columns may be of any type and name.
     """
@@ -582,7 +577,7 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     repeated = rows.filter("component is not null").groupBy("key", "row").count().filter("count > 1").select("key", "row", F.lit(True).alias("again"))
     # names that no column of `df` has; null keys meet too
     k, r, again_ = (f"__{x}_{len(''.join(df.columns))}" for x in ("key", "row", "again"))
-    marked = df.withColumns({k: F.struct(F.col(key).alias("x")), r: F.xxhash64(text)})
+    marked = df.withColumns({k: F.struct(F.col(key).alias("x")), r: F.xxhash64(key, text)})
     boxed = lambda x: x.withColumn("key", F.struct(F.col("key").alias("x"))).withColumnsRenamed({"key": k, "row": r})
     left = marked.join(boxed(ids), [k, r], "left_semi").join(boxed(repeated.withColumnRenamed("again", again_)), [k, r], "left")
     once = left.filter(F.col(again_).isNull()).select(*df.columns)
