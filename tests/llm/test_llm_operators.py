@@ -50,6 +50,8 @@ def collected(df):
 
 # 1, 8: tokens
 
+_db = None
+
 
 def encoding():
     import tiktoken
@@ -86,12 +88,25 @@ def test_bpe_equals_tiktoken(docs, empty):
 def test_bpe_of_long_and_random_words():
     enc, db = encoding(), bpe.BytePairDB(bpe.read_ranks(RANKS))
     rng = random.Random(5)
-    words = ["a" * 3000, "".join(rng.choice("abcdefgh") for _ in range(2000)), "é" * 500, "the"]
+    letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(30_000))
+    joined = "".join(rng.choice(["the", "of", "er", "ing", "ation", "re", "st"]) for _ in range(6000))
+    words = ["a" * 3000, "".join(rng.choice("abcdefgh") for _ in range(2000)), "é" * 500, "the", letters, joined, "ab" * 5000 + "aab" * 999, "é中" * 2000, "-=" * 3001 + "=" * 77, "中文字" * 70]
     ids, counts = db.encode_words(words)
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [enc.encode_ordinary(w) for w in words]
     assert b"".join(db.decode_pieces(ids, counts)) == "".join(words).encode()
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text(alphabet="abeinorstAB-=é", min_size=1, max_size=90), min_size=1, max_size=8))
+def test_bpe_contracts_in_the_order_of_the_library(words):
+    global _db
+    enc = encoding() if _db is None else _db[0]
+    _db = _db or (enc, bpe.BytePairDB(bpe.read_ranks(RANKS)))
+    words = [w.strip() * 3 for w in words]
+    ids, counts = _db[1].encode_words(words)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [enc._encode_single_piece(w.encode()) if w else [] for w in words]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), min_size=1, max_size=400))
 def test_blocks_round_trip(ids):
@@ -103,7 +118,9 @@ def test_token_files(docs, empty):
 
     df, rows = docs
     tokenizer = Tokenizer.from_file(TOKENIZER)
-    tokenizer.encode_special_tokens = True
+    special = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|> y " * 3, "<|endoftext|", "plain"]
+    df = df.select("doc_id", "text").union(df.sparkSession.createDataFrame([(1000 + i, t) for i, t in enumerate(special)], "doc_id long, text string"))
+    rows = [*rows, *((1000 + i, t, None) for i, t in enumerate(special))]
     found = token_files.token_files(df, TOKENIZER).orderBy("start").collect()
     assert [r.doc_id for r in found] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i))
     assert [r.start for r in found] == [sum(x.n_tokens for x in found[:k]) for k in range(len(found))]
@@ -449,3 +466,4 @@ def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11))
 
+

@@ -3,7 +3,8 @@
 A partition keeps the merge table in an in-memory DuckDB. The distinct pre-tokens of a
 batch become rows (word, position, token); a recursive query joins neighbouring tokens to
 the merge table, contracts each word's leftmost pair of least rank, and goes on until no
-word has a pair left. An ordered aggregation turns ids back into bytes.
+word has a pair left. An ordered aggregation turns ids back into bytes. Words of any length
+are encoded: long ones are first cut where no token of the vocabulary can cross.
 
 The ranks are also the ids, and two tokens merge whenever their bytes joined are a token.
 """
@@ -24,25 +25,32 @@ from pyspark.sql import types as T
 from tidewatch.llm.arrays import RollingHash, U64, mix, slices, spread, tidy
 from tidewatch.llm.pretokens import WordTable
 
+#: Each round contracts, in every word, the pair of least rank: all its places from the left where no
+#: contraction makes a pair of lower rank ("calm"), else the leftmost place. A pair is packed as rank, then place.
 ENCODE = """
 with recursive contracted(word, pos, tok, done) as (
   select word, pos, tok, false from words
   union all (
     with near as (
-      select word, pos, tok,
-        lead(word) over next as next_word, lead(pos) over next as next_pos, lead(tok) over next as next_tok
+      select word, pos, tok, row_number() over next as place, lead(word) over next as next_word, lead(tok) over next as next_tok
       from contracted where not done
-      window next as (order by (word::bigint << 20) | pos)
+      window next as (order by word, pos)
     ), paired as (
-      select n.word, n.pos, n.tok,
-        case when n.next_word = n.word then (m.tok::bigint << 40) | (n.pos::bigint << 20) | n.next_pos end as pair
+      select n.word, n.pos, n.tok, n.place, m.calm, case when n.next_word = n.word then (m.tok::bigint << 40) | n.pos end as pair
       from near n left join merges m on m.pair = (n.tok::bigint << 20) | n.next_tok
     ), least_pair as (
       select word, min(pair) as best from paired group by word
+    ), hits as (
+      select word, pos, tok, place, best, calm, (pair = best) as leftmost, coalesce(pair >> 40 = best >> 40, false) as hit
+      from paired join least_pair using (word)
+    ), picked as (
+      select word, pos, tok, place, best,
+        hit and (leftmost or calm and (place - coalesce(max(case when not hit then place end) over (order by place rows unbounded preceding), 0)) % 2 = 1) as pick
+      from hits
+    ), marked as (
+      select word, pos, tok, best, pick, lag(pick, 1, false) over (order by place) as gone from picked
     )
-    select word, pos, case when pos = (best >> 20) & 1048575 then best >> 40 else tok end, best is null
-    from paired join least_pair using (word)
-    where best is null or pos <> best & 1048575
+    select word, pos, case when pick then best >> 40 else tok end, best is null from marked where not gone
   )
 )
 select word, pos, tok from contracted where done order by word, pos
@@ -53,8 +61,8 @@ from ids join vocabulary using (tok) group by chunk order by chunk
 """
 #: Ids that one ordered aggregate of the decoding query joins.
 CHUNK_IDS = 4096
-#: Rows of a recursive query's first step, and the longest word in bytes that its positions can hold.
-QUERY_ROWS, WORD_BYTES = 1 << 18, (1 << 20) - 1
+#: Rows of a recursive query's first step; a longer piece goes alone. Words of more bytes are cut where no token can cross.
+QUERY_ROWS, CUT_BYTES = 1 << 18, 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -76,9 +84,15 @@ class BytePairDB:
         self.byte_strings = tokens
         self.byte_lengths = np.array([len(t) for t in tokens])
         self.opens = np.array([t[:1].isspace() for t in tokens])
-        pairs = [((ranks[a] << 20) | ranks[b], r) for t, r in ranks.items() for i in range(1, len(t)) if (a := t[:i]) in ranks and (b := t[i:]) in ranks]
-        pair, tok = np.array(pairs, np.int64).reshape(-1, 2).T
-        self._table("merges", pa.table({"pair": pair, "tok": tok.astype(np.int32)}))
+        halves = [(ranks[a], ranks[b], r) for t, r in ranks.items() for i in range(1, len(t)) if (a := t[:i]) in ranks and (b := t[i:]) in ranks]
+        left, right, tok = np.array(halves, np.int64).reshape(-1, 3).T
+        calm = np.ones(max(ranks.values()) + 1, bool)  # tokens that are no half of a token of lower rank
+        later = np.maximum(left, right)
+        calm[later[later > tok]] = False
+        self._table("merges", pa.table({"pair": left << 20 | right, "tok": tok.astype(np.int32), "calm": calm[tok]}))
+        self.twos = np.zeros(1 << 16, bool)
+        self.twos[[t[0] << 8 | t[1] for t in tokens if len(t) == 2]] = True
+        self.threes = np.unique(np.array([t[i] << 16 | t[i + 1] << 8 | t[i + 2] for t in tokens for i in range(len(t) - 2)], np.int64))
         # One character per byte, as DuckDB's strings are UTF-8.
         self._table("vocabulary", pa.table({"tok": np.array([ranks[t] for t in tokens], np.int32), "bytes": [t.decode("latin-1") for t in tokens]}))
 
@@ -93,23 +107,45 @@ class BytePairDB:
         self.db.unregister(name)
         return out
 
+    def cuts(self, word: np.ndarray) -> np.ndarray:
+        """Places in a word's bytes that no token can cross: neither the two bytes there are one, nor do three there occur in one."""
+        w = word.astype(np.int64)
+        three = w[:-2] << 16 | w[1:-1] << 8 | w[2:]
+        known = np.zeros(len(w) + 1, bool)  # at 1 + the place of the first byte
+        if len(self.threes):
+            known[1:-2] = self.threes[np.minimum(np.searchsorted(self.threes, three), len(self.threes) - 1)] == three
+        at = np.arange(1, len(w))
+        return at[~self.twos[w[:-1] << 8 | w[1:]] & ~known[at - 1] & ~known[at]]
+
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words in a row, and the number of each. A word that is a token is not contracted."""
+        """Ids of all words in a row, and the number of each. A word that is a token is not contracted; a long one is cut exactly."""
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        pieces, owner = [], []
+        for i, b in enumerate(raw):
+            if len(b) <= CUT_BYTES:
+                pieces.append(b)
+                owner.append(i)
+            else:
+                edges = [0, *self.cuts(np.frombuffer(b, np.uint8)).tolist(), len(b)]
+                pieces += [b[x:y] for x, y in zip(edges[:-1], edges[1:], strict=True)]
+                owner += [i] * (len(edges) - 1)
+        ids, counts = self.encode_pieces(pieces)
+        return ids, np.bincount(np.array(owner, np.int64), counts, minlength=len(raw)).astype(np.int64)
+
+    def encode_pieces(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces in a row, and the number of each, by the recursive query."""
         whole = np.array([self.ranks.get(b, -1) for b in raw], np.int64)
         counts, parts = np.ones(len(raw), np.int64), [whole]
-        source = np.arange(len(raw))  # where each word's ids start in the parts joined
+        source = np.arange(len(raw))  # where each piece's ids start in the parts joined
         rest, total = np.flatnonzero(whole < 0), len(raw)
         lengths = np.array([len(raw[i]) for i in rest], np.int64)
-        if len(lengths) and lengths.max() > WORD_BYTES:
-            raise ValueError(f"a word of {lengths.max()} bytes; at most {WORD_BYTES} can be encoded")
         while len(rest):
             n = max(1, int(np.searchsorted(np.cumsum(lengths), QUERY_ROWS, side="right")))
             group, size, rest, lengths = rest[:n], lengths[:n], rest[n:], lengths[n:]
             got = self._query(
                 ENCODE,
                 "words",
-                pa.table({"word": np.repeat(np.arange(n, dtype=np.int32), size), "pos": spread(np.zeros(n, np.int64), size).astype(np.int32), "tok": self.byte_ids[np.frombuffer(b"".join(raw[i] for i in group), np.uint8)]}),
+                pa.table({"word": np.repeat(np.arange(n, dtype=np.int32), size), "pos": spread(np.zeros(n, np.int64), size), "tok": self.byte_ids[np.frombuffer(b"".join(raw[i] for i in group), np.uint8)].astype(np.int64)}),
             )
             counts[group] = each = np.bincount(got.column("word").to_numpy(), minlength=n)
             source[group] = total + np.cumsum(each) - each
@@ -170,8 +206,8 @@ def strings(column: pa.Array) -> list[str]:
 def encode(df: DataFrame, ranks_path: str, text: str = "text", into: str = "ids") -> DataFrame:
     """`df` with the token ids of each text as array<int>.
 
-    Null and empty texts give an empty array; a column named `into` is replaced.
-    A word (match of the pattern) may have up to 1,048,575 bytes.
+    Null and empty texts give an empty array; rows that repeat give equal ones; a column named
+    `into` is replaced. Texts and words (matches of the pattern) may have any length.
     """
     keep = [c for c in df.columns if c != into]
     schema = df.select(*keep).schema.add(into, T.ArrayType(T.IntegerType()))

@@ -132,25 +132,46 @@ class Reader:
             i = j
 
 
-_held: dict[str, WordTable] = {}
+class Encoder:
+    """The tokenizers library's ids; it encodes each distinct pre-token once, and as a whole each text that holds one of its added tokens."""
 
-
-def word_table(path: str) -> WordTable:
-    """The tokenizers library encodes each distinct pre-token once; special tokens' strings are ordinary text."""
-    if path not in _held:
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        self.tokenizer = Tokenizer.from_file(path)
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.table = WordTable(self.ids_of)
+
+    def ids_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        each = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        counts = np.array([len(x) for x in each], np.int64)
+        return np.fromiter((i for x in each for i in x), np.int32, int(counts.sum())), counts
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and len + 1 offsets."""
+        special = [i for i, t in enumerate(texts) if any(x in t for x in self.added)]
+        if not special:
+            return self.table.tokens(*self.table.rows(texts))
+        plain = texts.copy()
+        for i in special:
+            plain[i] = ""
+        ids, offsets = self.table.tokens(*self.table.rows(plain))
+        more, counts = self.ids_of([texts[i] for i in special])
+        out = np.insert(ids, np.repeat(offsets[special], counts), more)
+        sizes = np.diff(offsets)
+        sizes[special] = counts
+        return out, np.append(0, np.cumsum(sizes))
+
+
+_held: dict[str, Encoder] = {}
 
-        def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            each = [x.ids for x in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-            counts = np.array([len(x) for x in each], np.int64)
-            return np.fromiter((i for x in each for i in x), np.int32, int(counts.sum())), counts
 
+def encoder(path: str) -> Encoder:
+    """One worker process keeps the encoder of the last path from task to task."""
+    if path not in _held:
         _held.clear()
-        _held[path] = WordTable(encode)
+        _held[path] = Encoder(path)
     return _held[path]
 
 
@@ -165,8 +186,9 @@ def write_token_files(df: DataFrame, tokenizer_path: str, folder: str, key: str
 
     Returns (file, path, tokens, documents) of each file, as many as there are shuffle
     partitions. Null and empty texts are one `end_id`. Beside each file an Arrow file
-    (`.keys`) has its documents' keys. A task writes under a name of its own and renames
-    at the end, so a repeated or lost attempt leaves no half-written file.
+    (`.keys`) has its documents' keys. Each attempt of a task writes under a name of its own, and
+    only the names of those that ended are returned, so a lost or repeated attempt does no harm;
+    what it left is deleted at the end.
     """
     spark = df.sparkSession
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -181,15 +203,16 @@ def write_token_files(df: DataFrame, tokenizer_path: str, folder: str, key: str
         number, attempt = context.partitionId(), context.taskAttemptId()
         fs, base = file_system(folder)
         fs.create_dir(base, recursive=True)
-        name = f"{base}/tokens-{number:06d}.pfor"
-        table = word_table(tokenizer_path)
+        file = f"tokens-{number:06d}-{attempt}.pfor"
+        name = f"{base}/{file}"
+        table = encoder(tokenizer_path)
         docs = 0
         keys = None
-        with fs.open_output_stream(f"{name}.{attempt}") as sink, fs.open_output_stream(f"{name}.keys.{attempt}") as key_sink:
+        with fs.open_output_stream(name) as sink, fs.open_output_stream(f"{name}.keys") as key_sink:
             writer = Writer(sink)
             for batch in batches:
                 for part in slices(batch, "text"):
-                    ids, offsets = table.tokens(*table.rows([x or "" for x in part.column("text").to_pylist()]))
+                    ids, offsets = table.encode([x or "" for x in part.column("text").to_pylist()])
                     docs += part.num_rows
                     writer.add(np.insert(ids, offsets[1:], end_id).astype(np.uint32), np.diff(offsets) + 1)
                     if keys is None:
@@ -198,16 +221,23 @@ def write_token_files(df: DataFrame, tokenizer_path: str, folder: str, key: str
             writer.close()
             if keys is not None:
                 keys.close()
-        for suffix in ("", ".keys"):
-            if fs.get_file_info(f"{name}{suffix}").type.name != "NotFound":
-                fs.delete_file(f"{name}{suffix}")
-            fs.move(f"{name}{suffix}.{attempt}", f"{name}{suffix}")
-        yield pa.RecordBatch.from_pydict({"file": [number], "path": [f"{folder}/tokens-{number:06d}.pfor"], "tokens": [writer.total], "docs": [docs]}, schema=pa.schema([("file", pa.int32()), ("path", pa.string()), ("tokens", pa.int64()), ("docs", pa.int64())]))
+        yield pa.RecordBatch.from_pydict({"file": [number], "path": [f"{folder}/{file}"], "tokens": [writer.total], "docs": [docs]}, schema=pa.schema([("file", pa.int32()), ("path", pa.string()), ("tokens", pa.int64()), ("docs", pa.int64())]))
 
     out = rows.mapInArrow(tidy(run), "file int, path string, tokens long, docs long").collect()
+    remove_others(folder, {r.path.rpartition("/")[2] for r in out})
     return sorted((r.file, r.path, r.tokens, r.docs) for r in out)
 
 
+def remove_others(folder: str, names: set[str]) -> None:
+    """Delete what attempts that didn't end left in the folder."""
+    from pyarrow.fs import FileSelector
+
+    fs, base = file_system(folder)
+    for x in fs.get_file_info(FileSelector(base, allow_not_found=True)):
+        if x.base_name.removesuffix(".keys") not in names:
+            fs.delete_file(x.path)
+
+
 def read_token_files(spark: SparkSession, files: list[tuple[int, str, int, int]], key_type: str = "long", key: str = "doc_id") -> DataFrame:
     """(key, start, n_tokens, ids_crc32) of every document in the files; start counts the ids of all files before."""
     starts, rows = 0, []
@@ -236,7 +266,10 @@ def read_token_files(spark: SparkSession, files: list[tuple[int, str, int, int]]
 
 
 def token_files(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", end_id: int = 2) -> DataFrame:
-    """Write the files into a new folder of the shared one and read all of them back."""
+    """(key, start, n_tokens, ids_crc32) of each row, from files written into a new folder of the shared one and read back.
+
+    Null and empty texts have the end id only; repeated rows are written as often; ties of key go by text.
+    """
     folder = new_folder(df.sparkSession, "token-files")
     files = write_token_files(df, tokenizer_path, folder, key, text, end_id)
     return read_token_files(df.sparkSession, files, dict(df.dtypes)[key], key)
