@@ -409,8 +409,10 @@ def test_html_of_several_sections(outer):
 
 def test_mix(docs, empty):
     df, rows = docs
-    found = mixing.mix_sources(df.drop("n"))
+    clashing = {c: F.lit("x") for c in ("size", "copies", "t_source", "__mix_source", "__mix_hash", "salt", "prefix", "whole", "source_size", "a.b")}
+    found = mixing.mix_sources(df.withColumns(clashing))
     got = found.collect()
+    assert found.columns[:8] == [*df.columns, "t_source", "__mix_source"] and {r.whole for r in got} == {"x"}
     sizes = defaultdict(int)
     for _, t, s in rows:
         sizes[s] += len(WORDS.findall(t or ""))
@@ -432,7 +434,7 @@ def test_mix(docs, empty):
         assert {r.source_size for r in mine} == {sizes[s]} and all(abs(r.target - target[s]) < 1e-6 for r in mine)
         assert abs(sum(r.taken for r in mine) - target[s]) <= largest
     assert all(r.taken == r["size"] * r.copies and r.copies <= 3 for r in got) and len(got) == len(rows)
-    assert collected(found) == collected(mixing.mix_sources(df.drop("n")))
+    assert collected(found) == collected(mixing.mix_sources(df.withColumns(clashing), broadcast_sources=0))
     assert mixing.mix_sources(empty).count() == 0
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from tidewatch.llm.arrays import RollingHash, U64, byte_table, mix, slices, space_words, spread, tidy, utf8
 from tidewatch.llm.packing import deltas, pack, undeltas, unpack
-from tidewatch.llm.shared import stored
+from tidewatch.llm.shared import discard, stored
 from tidewatch.operators.components import connected_components, roots
 
 WIDTH, PERCENT = 5, 75
@@ -528,8 +528,9 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", perce
         rows = across(bundles.join(large, "hub"), labels, block_nodes)
         links = links.unionByName(stored(compared(rows.join(texts, "row"), hot, percent), "links"))
         labels = connected_components(links)
-    joined = labelled(listed.select("row", "key", "n", "node"), labels)
-    return joined.select("row", "key", "n", "component")
+    groups = stored(labelled(listed.select("row", "key", "n", "node"), labels).select("row", "key", "n", "component"), "groups")
+    discard(counted, listed, bundles, large)
+    return groups
 
 
 def labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -560,7 +561,7 @@ def across(members: DataFrame, labels: DataFrame, block_nodes: int) -> DataFrame
 def join_result(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id): the smallest key that links reach; a row without words has its own."""
     rows = similar_groups(df, key, text)
-    least = rows.filter("component is not null").groupBy("component").agg(F.min("key").alias("least"))
+    least = stored(rows.filter("component is not null").groupBy("component").agg(F.min("key").alias("least")), "least")
     return rows.join(least, "component", "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least", "key").alias("component_id"))
 
 
@@ -569,7 +570,7 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     Of rows equal in key and text one stays; if other columns differ, any of them. Columns may be of any type and name.
     """
-    rows = stored(similar_groups(df, key, text), "groups")
+    rows = similar_groups(df, key, text)
     none = F.col("key").isNull().alias("none")
     kept = rows.filter("component is not null").groupBy("component").agg(F.min(F.struct(none, "key", "row")).alias("x")).select("x.key", "x.row")
     wordless = rows.filter("component is null").select("key", "row").distinct()

@@ -13,8 +13,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.shared import stored
+from tidewatch.llm.shared import discard, stored
 
+#: Rows of a table of sources that are broadcast; a larger one is joined with its rows copied for SALTS shares of each source.
+BROADCAST_SOURCES, SALTS = 20_000, 64
 #: Hash bits of each histogram; their sum is 64.
 LEVELS = (12, 16, 18, 18)
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,9 +26,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def measured(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
-    """`df` with the columns of the mix beside it: source, size and hash under names of their own."""
-    return df.withColumns({"__mix_source": F.col(source), "__mix_size": word_count(F.col(text)), "__mix_hash": F.xxhash64(F.col(key), F.col(text))})
+def measured(df: DataFrame, key: str, source: str, text: str) -> list[Column]:
+    """Source, size and hash of each row, under names of the mix."""
+    return [F.col(source).alias("__mix_source"), word_count(F.col(text)).alias("__mix_size"), F.xxhash64(key, text).alias("__mix_hash")]
 
 
 def targets(sizes: DataFrame, weights: Sequence[float], most: float) -> DataFrame:
@@ -89,21 +91,31 @@ def thresholds(rows: DataFrame, weights: Sequence[float] = (1, 2, 3), most: floa
     )
 
 
-def mix_sources(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[float] = (1, 2, 3), most: float = 3) -> DataFrame:
+def mix_sources(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[float] = (1, 2, 3), most: float = 3, broadcast_sources: int = BROADCAST_SOURCES) -> DataFrame:
     """`df` with size, source_size, target, copies and taken (size * copies) of each row.
 
     Size is the number of words of the text (null: 0). Sources by code point, null last, take
     the weights in turn and share all words; a target stops at `most` times its source's size.
     A source of no words has target 0. Columns of `df` that clash with the added ones are
-    replaced. Rows equal in key and text have one hash, and are taken together.
+    replaced; others may have any name. Rows equal in key and text have one hash, and are taken
+    together. An empty table gives none. Words are counted twice, for the histograms and for the
+    rows: carrying the first count over would shuffle every text.
     """
-    slim = stored(measured(df, key, source, text).select("__mix_source", "__mix_size", "__mix_hash"), "mix")
-    bounds = thresholds(slim, weights, most).withColumnsRenamed({c: f"__mix_{c}" for c in ("source_size", "target", "copies", "prefix", "whole")})
-    low = F.lit(-(1 << 63))
-    hashed, bound = F.col("__mix_hash").bitwiseXOR(low), F.col("__mix_prefix").bitwiseXOR(low)
-    more = F.when((F.col("__mix_size") > 0) & ((hashed < bound) | ((hashed == bound) & F.col("__mix_whole"))), 1).otherwise(0)
     added = ("size", "source_size", "target", "copies", "taken")
-    rows = measured(df.drop(*added), key, source, text).join(bounds, F.col("__mix_source").eqNullSafe(F.col("t_source")), "left")
-    return rows.withColumn("copies", F.col("__mix_copies") + more).select(
-        *(c for c in df.columns if c not in added), F.col("__mix_size").alias("size"), F.col("__mix_source_size").alias("source_size"), F.col("__mix_target").alias("target"), "copies", (F.col("__mix_size") * F.col("copies")).alias("taken")
-    )
+    kept = [c for c in df.columns if c not in added]
+    slim = stored(df.select(*measured(df, key, source, text)), "mix")
+    bounds = stored(thresholds(slim, weights, most), "bounds")
+    # the columns of `df` travel in a struct, so that none can clash with those of the mix
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), *measured(df, key, source, text))
+    same = F.col("__mix_source").eqNullSafe(F.col("t_source"))
+    if bounds.count() <= broadcast_sources:
+        rows = rows.join(F.broadcast(bounds), same, "left")
+    else:
+        salted = bounds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("__mix_salt", F.pmod("__mix_hash", F.lit(SALTS)).cast("int")).join(salted, same & (F.col("__mix_salt") == F.col("salt")), "left")
+    discard(slim)
+    low = F.lit(-(1 << 63))
+    hashed, bound = F.col("__mix_hash").bitwiseXOR(low), F.col("prefix").bitwiseXOR(low)
+    more = F.when((F.col("__mix_size") > 0) & ((hashed < bound) | ((hashed == bound) & F.col("whole"))), 1).otherwise(0)
+    size, copies = F.col("__mix_size"), F.col("copies") + more
+    return rows.select(*(F.col("row").getField(c).alias(c) for c in kept), size.alias("size"), "source_size", "target", copies.alias("copies"), (size * copies).alias("taken"))

@@ -3,17 +3,24 @@
 from __future__ import annotations
 
 import gc
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the session has it; a folder of our own only where it is unset, as in tests."""
+    """spark.checkpoint.dir as the session has it; a folder of our own only where it is unset and all runs on this machine, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        set_by_code = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = set_by_code.get() if set_by_code.isDefined() else "file:///tmp/checkpoints/tidewatch"
+        context = spark.sparkContext
+        set_by_code = context._jsc.sc().getCheckpointDir()
+        if set_by_code.isDefined():
+            folder = set_by_code.get()
+        elif re.match(r"local($|\[)", context.master):
+            folder = "file:///tmp/checkpoints/tidewatch"
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return folder.rstrip("/")
 
 
@@ -21,22 +28,24 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows written to the shared folder: lineage ends there and lost executors cost nothing."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame, kind: str) -> DataFrame:
-    """Like cut(), as Parquet: smaller on disk than a checkpoint's rows, and columns can be pruned."""
+    """The rows as Parquet in the shared folder: lineage ends there, lost executors cost nothing, and columns can be pruned."""
     path = new_folder(df.sparkSession, kind)
     spark, schema = df.sparkSession, df.schema
     df.write.parquet(path)
     del df
     release(spark)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.stored_in = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of stored() tables that no later action reads."""
+    for x in tables:
+        context = x.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(x.stored_in)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
