@@ -511,7 +511,7 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", perce
     if (hot.value[1] >= np.log2(split)).any():
         bundles = bundles.unionByName(met_by_split(nodes, hot, percent, split))
     bundles = stored(bundles.distinct(), "bundles")
-    reps = nodes.join(bundles.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"))
+    reps = nodes.groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"))  # copies are one before the join
     bundles = stored(bundles.join(reps, "node"), "members")
     texts = texts_of(df, key, text, bundles)
     # blocks of each bundle; one, unless it is large
