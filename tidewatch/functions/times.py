@@ -10,18 +10,18 @@ from pyspark.sql import functions as F
 
 #: Unit words by unit, in the languages that sources show.
 UNITS = {
-    "second": ("seconds", "second", "secs", "sec", "秒鐘", "秒钟", "秒"),
-    "minute": ("minutes", "minute", "mins", "min", "分鐘", "分钟", "分"),
-    "hour": ("hours", "hour", "小時", "小时", "時間"),
-    "day": ("days", "day", "天", "日"),
-    "week": ("weeks", "week", "週間", "星期", "週", "周"),
-    "month": ("months", "month", "個月", "个月", "か月", "ヶ月", "カ月"),
-    "year": ("years", "year", "年"),
+    "second": ("秒", "秒鐘", "秒钟"),
+    "minute": ("分鐘", "分钟", "分"),
+    "hour": ("小時", "小时", "時間"),
+    "day": ("天", "日"),
+    "week": ("週", "周", "週間"),
+    "month": ("月", "個月", "个月", "か月", "ヶ月"),
+    "year": ("年",),
 }
-JUST_NOW = ("just now", "剛剛", "刚刚", "たった今")
-YESTERDAY = ("yesterday", "昨天", "昨日")
+JUST_NOW = ("剛剛", "刚刚", "現在", "现在", "たった今", "just now")
+YESTERDAY = ("昨天", "昨日", "yesterday")
 SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
-AGO = r"(?:ago|前)"
+DIGITS = ("０１２３４５６７８９", "0123456789")
 
 
 def any_of(words) -> str:
@@ -29,19 +29,20 @@ def any_of(words) -> str:
 
 
 def parsed(text: Column) -> Column:
-    """struct<value, unit, kind>; kind is short (under a week), long or unparsed."""
-    flat = F.lower(F.trim(text))
-    words = any_of(w for group in UNITS.values() for w in group)
-    pattern = rf"^(\d+|an?)\s*({words})\s*{AGO}$"
-    number, word = F.regexp_extract(flat, pattern, 1), F.regexp_extract(flat, pattern, 2)
-    value = F.when(number.isin("a", "an"), 1).otherwise(F.nullif(number, F.lit("")).try_cast("int"))
-    unit = F.lit(None).cast("string")
-    for name, group in UNITS.items():
-        unit = F.when(word.isin(*group), name).otherwise(unit)
-    now, before = flat.isin(*JUST_NOW), flat.isin(*YESTERDAY)
-    value = F.when(now, 0).when(before, 1).otherwise(value)
-    unit = F.when(now, "second").when(before, "day").otherwise(unit)
-    return F.struct(value.alias("value"), unit.alias("unit"), kind_of(value, unit).alias("kind"))
+    """struct<value, unit, kind>; kind is short (under a week), long or unparsed. An age may stand within other words."""
+    flat = F.translate(F.regexp_replace(F.lower(F.trim(text)), r"(?U)\s+", " "), *DIGITS)
+    east = rf"(\d+)\s*({any_of(w for group in UNITS.values() for w in group)})\s*前"
+    west = rf"\b(\d+|an?)\s+({'|'.join(UNITS)})s?\s+ago\b"
+    said = F.struct(*(F.regexp_extract(flat, p, i).alias(n) for n, p, i in (("number", east, 1), ("word", east, 2), ("amount", west, 1), ("name", west, 2))), flat.alias("flat"))
+    unit_of = F.create_map(*(F.lit(x) for unit, group in UNITS.items() for word in (*group, unit) for x in (word, unit)))
+
+    def read(x: Column) -> Column:
+        number = F.when(x["number"] != "", x["number"]).when(x["amount"].isin("a", "an"), "1").otherwise(x["amount"])
+        value = F.when(x["flat"].isin(*JUST_NOW), 0).when(x["flat"].isin(*YESTERDAY), 1).otherwise(number.try_cast("int"))
+        unit = F.when(x["flat"].isin(*JUST_NOW), "second").when(x["flat"].isin(*YESTERDAY), "day").otherwise(unit_of[F.when(x["word"] != "", x["word"]).otherwise(x["name"])])
+        return F.struct(value.alias("value"), F.when(value.isNotNull(), unit).alias("unit"))
+
+    return F.element_at(F.transform(F.transform(F.array(said), read), lambda x: F.struct(x["value"].alias("value"), x["unit"].alias("unit"), kind_of(x["value"], x["unit"]).alias("kind"))), 1)
 
 
 def kind_of(value: Column, unit: Column) -> Column:
@@ -75,3 +76,68 @@ def shown(at: Column, zone: str) -> Column:
 
 def retry_seconds(attempts: Column) -> Column:
     return F.least(F.lit(3600), (F.lit(30) * F.pow(F.lit(2), F.least(attempts, F.lit(7)))).cast("int"))
+
+
+ZONE = r"(?:[Zz]|[+-]\d\d:?\d\d)$"
+
+
+def instant(value: Column) -> Column:
+    """An ISO text as an instant, TIMESTAMP_NTZ in UTC; one without a zone is UTC, one that can't be read is null."""
+    zoned = F.when(value.rlike(ZONE), value).otherwise(F.concat(value, F.when(value.rlike(r"\d:\d\d"), "Z").otherwise(" 00:00:00Z")))
+    return F.timestamp_add("MICROSECOND", F.unix_micros(zoned.try_cast("timestamp")), F.expr("TIMESTAMP_NTZ'1970-01-01'"))
+
+
+def strict_instant(value: Column) -> Column:
+    """As instant(), but a text without a zone, or one that can't be read, stops the query."""
+    return F.when(value.isNull(), F.lit(None).cast("timestamp_ntz")).when(value.rlike(ZONE), F.coalesce(instant(value), F.raise_error(F.concat(F.lit("not a time: "), value)).cast("timestamp_ntz"))).otherwise(
+        F.raise_error(F.concat(F.lit("a time needs a zone: "), value)).cast("timestamp_ntz")
+    )
+
+
+def local_text(value: Column, zone: str, none: str = "—") -> Column:
+    """A stored time as shown: local, to the second; nothing is `none`, and what can't be read stays as it is."""
+    return F.when(F.coalesce(value, F.lit("")) == "", none).otherwise(F.coalesce(shown(instant(value), zone), value))
+
+
+def shifted(at: Column, hours: int = 8) -> Column:
+    """A fixed offset, whatever the zone's rules."""
+    return F.date_format(F.timestamp_add("HOUR", F.lit(hours), at), "yyyy-MM-dd HH:mm:ss")
+
+
+def posted(estimate: Column, back: Column) -> Column:
+    """The estimated date, else the time calculated back."""
+    return F.coalesce(F.nullif(estimate, F.lit("")), F.nullif(back, F.lit("")))
+
+
+def epoch_seconds(value: Column) -> Column:
+    """Seconds of a date or time in text; null for what can't be read and for the epoch itself."""
+    seconds = epoch_micros(instant(value)) / 1_000_000
+    return F.when(seconds != 0, seconds)
+
+
+def posted_axis(back: Column, estimate: Column) -> Column:
+    """One axis for sorting, in microseconds: the time calculated back, else noon of the estimated date (UTC)."""
+    noon = epoch_micros(estimate.cast("timestamp_ntz")) + 12 * 3600 * 1_000_000
+    return F.coalesce(epoch_micros(back), noon)
+
+
+#: What the two columns say without a time.
+NOTHING, WATCHED, UNREADABLE, NOT_YET = "—", "觀察中", "無法解析", "尚未更新"
+
+
+def time_columns(back: Column, estimate: Column, status: Column, zone: str) -> Column:
+    """struct<back, estimate> of the detail view, from stored texts; a null status is pending. An estimate empties the first column."""
+    status = F.coalesce(F.nullif(status, F.lit("")), F.lit("pending"))
+    pair = lambda a, b: F.struct(a.alias("back"), b.alias("estimate"))
+    dash, word = F.lit(NOTHING), lambda w: pair(F.lit(w), F.lit(w))
+    has = lambda c: F.coalesce(c, F.lit("")) != ""
+    out = F.when(has(back), pair(local_text(back, zone), dash)).when(has(estimate), pair(dash, estimate)).when(status == "long", pair(dash, F.lit(WATCHED)))
+    return out.when(status == "unparsed", word(UNREADABLE)).when(status == "pending", word(NOT_YET)).otherwise(word(NOTHING))
+
+
+def listed_time_columns(back: Column, estimate: Column, status: Column) -> Column:
+    """struct<back, estimate> of the list view: the first column looks at no estimate, and hours are shifted by a fixed offset."""
+    waits = lambda c: c.when(status == "unparsed", UNREADABLE).when(status == "pending", NOT_YET).otherwise(NOTHING)
+    first = waits(F.when(back.isNotNull(), shifted(back)))
+    second = waits(F.when(back.isNotNull(), NOTHING).when(estimate.isNotNull(), estimate).when(status == "long", WATCHED))
+    return F.struct(first.alias("back"), second.alias("estimate"))

@@ -88,3 +88,43 @@ def edited(df: DataFrame, versions: DataFrame, keys: list[str]) -> DataFrame:
     """`df` with a flag: whether the row has an archived version."""
     marked = versions.select(*keys).distinct().withColumn("edited", F.lit(True))
     return df.join(marked, keys, "left").withColumn("edited", F.coalesce("edited", F.lit(False)))
+
+
+def lookup(df: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """`wanted` keys with `known`, and the columns of `df` where it is true."""
+    return wanted.select(*keys).distinct().join(df.withColumn("known", F.lit(True)), keys, "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
+def one_row(df: DataFrame, **key):
+    """The row of one key; a LookupError if there is none."""
+    found = df
+    for name, value in key.items():
+        found = found.filter(F.col(name).eqNullSafe(F.lit(value)))
+    row = found.head()
+    if row is None:
+        raise LookupError(f"no row has {key}")
+    return row
+
+
+def cascaded(tables: dict[str, tuple[DataFrame, list[str]]], gone: DataFrame) -> dict[str, DataFrame]:
+    """Each table (rows, its columns that hold the parent's key) without the rows of the parents in `gone`, whose columns are that key."""
+    out = {}
+    for name, (rows, columns) in tables.items():
+        keys = gone.distinct().toDF(*(f"__gone_{i}" for i in range(len(columns))))
+        match = [F.col(c).eqNullSafe(F.col(f"__gone_{i}")) for i, c in enumerate(columns)]
+        out[name] = rows.join(keys, match, "left_anti")
+    return out
+
+
+def scan_states(scans: DataFrame, shop: str = "shop_key", order: str = "scan_no", ok: str = "ok", baseline: str | None = None, after: int = 3) -> DataFrame:
+    """`scans` with the shop's state at each: initialized (a scan before succeeded), failures in a row, whether an alert is active, and notify.
+
+    A shop's events count only once it is initialized, and never in a baseline scan.
+    """
+    w = Window.partitionBy(shop).orderBy(order)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = scans.withColumn("initialized", F.coalesce(F.max(F.col(ok).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)) == 1, F.lit(False)))
+    rows = rows.withColumn("__island", F.sum(F.col(ok).cast("int")).over(so_far))
+    rows = rows.withColumn("failures", F.sum((~F.col(ok)).cast("int")).over(Window.partitionBy(shop, "__island").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    quiet = F.lit(False) if baseline is None else F.coalesce(F.col(baseline), F.lit(False))
+    return rows.withColumn("alert_active", F.col("failures") >= after).withColumn("notify", F.col("initialized") & ~quiet).drop("__island")

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import difflib
+import math
+import os
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -12,26 +15,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidewatch.functions.hashing import fingerprint
-from tidewatch.functions.text import HAN, normalized
+from tidewatch.functions.hashing import fingerprints
+from tidewatch.functions.text import HAN, normalized, without_phrases
 from tidewatch.functions.vectors import unit
 from tidewatch.operators.components import connected_components
+from tidewatch.plans.storage import stored
 
 #: Rows of one block of a blocked self-join.
 BLOCK = 1024
 
 
-def eligible(df: DataFrame, text: str = "text", counted: str = HAN, least: int = 12, copies: int = 3, excluded: Column | None = None) -> DataFrame:
-    """`df` with normalized, n_counted, copies and eligible.
+def eligible(df: DataFrame, text: str = "text", counted: str = HAN, least: int = 12, copies: int = 3, excluded: Column | None = None, phrases: list[str] = ()) -> DataFrame:
+    """`df` with normalized, text_key, n_counted, copies and eligible.
 
     A text takes part if it isn't excluded or empty and has `least` characters of the class
-    `counted`, or occurs `copies` times among all rows, the excluded ones included. Copies
-    are counted by key with map-side sums and joined back, so that a very common text is no
-    single window partition.
+    `counted`, or occurs `copies` times among all rows, the excluded ones included. Normalised
+    `phrases` are taken out first. The text is normalised once and stored; copies are counted by
+    its hash with map-side sums, and only texts with several are joined back.
     """
-    rows = df.withColumn("normalized", normalized(F.col(text))).withColumn("n_counted", F.regexp_count("normalized", F.lit(counted)))
-    counts = rows.groupBy(F.xxhash64("normalized").alias("h"), "normalized").agg(F.count("*").alias("copies")).select("h", F.col("normalized").alias("n"), "copies")
-    rows = rows.join(counts, (F.xxhash64("normalized") == F.col("h")) & (F.col("normalized") == F.col("n")), "left").drop("h", "n")
+    clean = without_phrases(normalized(F.col(text)), list(phrases))
+    rows = stored(df.withColumn("normalized", clean).withColumns({"n_counted": F.regexp_count("normalized", F.lit(counted)), "text_key": F.sha2("normalized", 256)}), "normalized")
+    counts = rows.groupBy("text_key").agg(F.count("*").alias("copies")).filter("copies > 1")
+    rows = rows.join(counts, "text_key", "left").withColumn("copies", F.coalesce("copies", F.when(F.col("normalized").isNotNull(), 1)).cast("long"))
     out = F.lit(False) if excluded is None else F.coalesce(excluded, F.lit(False))
     return rows.withColumn("eligible", ~out & (F.col("normalized") != "") & ((F.col("n_counted") >= least) | (F.col("copies") >= copies)))
 
@@ -157,22 +162,110 @@ def cosine_pairs(df: DataFrame, threshold: float, key: str = "vec_id", vector: s
     return blocked_self_join(rows, None, 1.0, score, f"left_id {kind}, right_id {kind}, cosine double")
 
 
-@F.pandas_udf(T.DoubleType())
-def lexical(left: pd.Series, right: pd.Series, dice: pd.Series) -> pd.Series:
-    """The greater of Dice and Ratcliff and Obershelp's ratio, which depends on the order of its arguments.
+def dice_of(a: dict[str, int], b: dict[str, int]) -> float:
+    few, many = (a, b) if len(a) < len(b) else (b, a)
+    return 2 * sum(min(n, many.get(g, 0)) for g, n in few.items()) / (sum(a.values()) + sum(b.values()))
 
-    The ratio is quadratic in length, so it is only taken where its bound by letters exceeds Dice.
-    """
 
-    def one(a: str, b: str, known: float) -> float:
-        if a == b and a:
-            return 1.0
-        match = difflib.SequenceMatcher(None, a, b, autojunk=False)
-        if not a or not b or match.real_quick_ratio() <= known or match.quick_ratio() <= known:
-            return known
-        return max(known, match.ratio())
+def common_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a bit a character of `a`."""
+    start = len(os.path.commonprefix([a, b]))
+    a, b = a[start:], b[start:]
+    end = len(os.path.commonprefix([a[::-1], b[::-1]]))
+    a, b = a[: len(a) - end], b[: len(b) - end]
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    every = free = (1 << len(a)) - 1
+    for c in b:
+        hit = free & places.get(c, 0)
+        free = ((free + hit) | (free - hit)) & every
+    return start + end + len(a) - free.bit_count()
+
+
+def letters_bound(a: str, b: str) -> float:
+    """What the ratio is at most: the letters that both have."""
+    counts = Counter(a)
+    shared = sum(min(n, counts.get(c, 0)) for c, n in Counter(b).items())
+    return 2 * shared / (len(a) + len(b))
+
 
-    return pd.Series([one(*x) for x in zip(left, right, dice, strict=True)], dtype=float)
+def lexical_scores(a: str, b: str, dice: float, least: float = 0.0) -> tuple[float, float]:
+    """The greater of Dice and Ratcliff and Obershelp's ratio, for (a, b) and (b, a): the ratio depends on the order.
+
+    The ratio is taken only where its bounds (letters, then the longest common subsequence)
+    exceed both Dice and what is below `least` anyhow.
+    """
+    if a == b:
+        return 1.0, 1.0
+    floor = max(dice, math.nextafter(least, 0))
+    if not a or not b or letters_bound(a, b) <= floor or 2 * common_length(a, b) / (len(a) + len(b)) <= floor:
+        return dice, dice
+    ab, ba = (difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in ((a, b), (b, a)))
+    return max(dice, ab), max(dice, ba)
+
+
+def lexical_pairs(df: DataFrame, threshold: float, key: str = "text_id", text: str = "normalized", ratio: bool = True) -> DataFrame:
+    """(left_id, right_id, forward, backward) of pairs of texts of which either lexical score is `threshold` or more; left_id < right_id.
+
+    forward is lexical_scores(left, right)[0], backward that of (right, left). Exact: both scores
+    are at most 2 * min / (n + m) of the lengths, which picks the blocks that meet; within a
+    block, letters and common subsequences bound the ratio. Empty texts match nothing. The work
+    is that of all pairs of like length, in tasks of bounded size. `ratio`: False leaves Dice alone.
+    """
+    rows = df.filter(F.length(text) > 0).select(F.col(key).alias("id"), F.col(text).alias("t"))
+    schema = f"left_id {dict(rows.dtypes)['id']}, right_id {dict(rows.dtypes)['id']}, forward double, backward double"
+
+    def score(left: pa.Table, right: pa.Table | None) -> pa.Table:
+        sides = [left] if right is None else [left, right]
+        texts = [x.column("t").to_pylist() for x in sides]
+        ids = [x.column("id").to_pylist() for x in sides]
+        grams = [gram_counts(x) for x in texts]
+        sizes = [np.array([len(t) for t in x], float) for x in texts]
+        place: dict[str, int] = {}
+        letters = []
+        for side in texts:
+            rows = [Counter(t) for t in side]
+            for c in rows:
+                for x in c:
+                    place.setdefault(x, len(place))
+            letters.append(rows)
+        counted = [dense(x, place) for x in letters]
+        out: list[tuple] = []
+        for i in range(len(ids[0])):
+            first = i + 1 if right is None else 0
+            size = sizes[-1][first:]
+            near = np.flatnonzero(2 * np.minimum(size, sizes[0][i]) >= threshold * (size + sizes[0][i])) + first
+            if not len(near):
+                continue
+            own = np.flatnonzero(counted[0][i])
+            most = 2 * np.minimum(counted[-1][near][:, own], counted[0][i][own]).sum(axis=1) / (sizes[-1][near] + sizes[0][i])
+            for j, bound in zip(near.tolist(), most.tolist(), strict=True):
+                a, b = (i, 0), (j, len(sides) - 1)
+                if ids[b[1]][b[0]] < ids[a[1]][a[0]]:
+                    a, b = b, a
+                d = dice_of(grams[a[1]][a[0]], grams[b[1]][b[0]])
+                if d < threshold and (not ratio or bound < threshold):
+                    continue
+                x, y = texts[a[1]][a[0]], texts[b[1]][b[0]]
+                ab, ba = lexical_scores(x, y, d, threshold) if ratio else ((1.0, 1.0) if x == y else (d, d))
+                if max(ab, ba) >= threshold:
+                    out.append((ids[a[1]][a[0]], ids[b[1]][b[0]], ab, ba))
+        columns = list(zip(*out, strict=True)) if out else [()] * 4
+        kind = left.column("id").type
+        return pa.table({"left_id": pa.array(columns[0], kind), "right_id": pa.array(columns[1], kind), "forward": pa.array(columns[2], pa.float64()), "backward": pa.array(columns[3], pa.float64())})
+
+    return blocked_self_join(rows, F.length("t"), threshold / (2 - threshold), score, schema, block=512)
+
+
+@F.pandas_udf(T.StructType([T.StructField("forward", T.DoubleType()), T.StructField("backward", T.DoubleType())]))
+def lexical(left: pd.Series, right: pd.Series) -> pd.DataFrame:
+    """lexical_scores() of two texts in both orders, Dice included."""
+    out = []
+    for a, b in zip(left, right, strict=True):
+        d = dice_of(*gram_counts([a, b])) if a and b else 0.0
+        out.append(lexical_scores(a, b, d) if a and b else (0.0, 0.0))
+    return pd.DataFrame(out, columns=["forward", "backward"], dtype=float)
 
 
 def admitted(lexical: Column, semantic: Column, short: Column, equal: Column, copies: Column, least_copies: int = 3, lexical_at: float = 0.85, semantic_at: float = 0.92) -> Column:
@@ -198,15 +291,16 @@ def direction(stars: Column) -> Column:
     return F.when(F.min(stars) >= 4, "positive").when(F.max(stars) <= 2, "negative").otherwise("mixed")
 
 
-def group_rollup(members: DataFrame) -> DataFrame:
-    """One row a component of (component, review_id, shop_key, stars, posted_day)."""
-    return members.groupBy("component").agg(
-        F.count("*").alias("review_count"),
-        F.count_distinct("shop_key").alias("shop_count"),
-        F.max("posted_day").alias("latest_day"),
-        direction(F.col("stars")).alias("direction"),
-        fingerprint(F.collect_list(F.concat_ws(":", "shop_key", F.col("review_id").cast("string")))).alias("fingerprint"),
+def group_rollup(members: DataFrame, group: str = "component") -> DataFrame:
+    """One row a group of (group, review_id, shop_key, stars, posted_day)."""
+    summed = members.groupBy(group).agg(
+        F.count("*").alias("review_count"), F.count_distinct("shop_key").alias("shop_count"), F.max("posted_day").alias("latest_day"), direction(F.col("stars")).alias("direction")
     )
+    return summed.join(fingerprints(members, group, member_name()), group)
+
+
+def member_name() -> Column:
+    return F.concat_ws(":", "shop_key", F.col("review_id").cast("string"))
 
 
 def member_rollup(pairs: DataFrame, score: str) -> DataFrame:

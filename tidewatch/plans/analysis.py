@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import hashing, text, vectors
+from tidewatch.operators import insight, lists
 from tidewatch.operators import similarity as sim
 from tidewatch.plans.registry import query
-from tidewatch.plans.storage import stored
+from tidewatch.plans.storage import spread, stored
 from tidewatch.plans.views import REVIEWS, reviews, table
 
 #: The test tables have no Han text, so letters are counted in its place.
@@ -27,27 +28,38 @@ GROUPS = f"""{REVIEWS_N}, m AS (SELECT *, min(review_id) OVER (PARTITION BY norm
 
 
 def normal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reviews(spark, sf_dir).withColumn("normalized", text.normalized(F.col("text")))
+    return spread(reviews(spark, sf_dir)).withColumn("normalized", text.normalized(F.col("text")))
+
+
+def keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews with a hash in place of their text; texts are normalised once."""
+    rows = normal(spark, sf_dir).filter("normalized <> ''").withColumn("text_key", F.sha2("normalized", 256))
+    return stored(rows.drop("text", "normalized"), "keyed")
+
+
+def equal_texts(rows: DataFrame, *keys: str) -> DataFrame:
+    """`rows` that share all `keys` with others, with the least review of each group as `component`; only groups of several are joined back."""
+    groups = rows.groupBy(*keys).agg(F.min("review_id").alias("component"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return rows.join(groups, list(keys))
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = stored(normal(spark, sf_dir).drop("text"), "normalized")
-    return rows.join(sim.members_of(sim.exact_links(rows)), "review_id")
+    return equal_texts(keyed(spark, sf_dir), "text_key")
 
 
 @query(f"SELECT doc_id, sha256(t) AS normalized_sha256, length(t) AS n_chars_left, len(regexp_extract_all(t, '\\p{{L}}')) AS n_letters FROM (SELECT doc_id, {NORM} AS t FROM documents)")
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = text.normalized(F.col("text"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", t.alias("t"))
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", t.alias("t"))
     return rows.select("doc_id", F.sha2("t", 256).alias("normalized_sha256"), F.length("t").cast("long").alias("n_chars_left"), F.regexp_count("t", F.lit(LETTER)).cast("long").alias("n_letters"))
 
 
 @query(f"{GROUPS} SELECT component, count(*) AS review_count, count(DISTINCT shop_key) AS shop_count, left(sha256(string_agg(shop_key || ':' || review_id, '|' ORDER BY shop_key || ':' || review_id)), 20) AS fingerprint FROM members GROUP BY component")
 def exact_duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of reviews with equal normalised text; map-side counts, no window over a hot text."""
-    rows = normal(spark, sf_dir).filter("normalized <> ''").groupBy(F.sha2("normalized", 256).alias("h"))
-    groups = rows.agg(F.min("review_id").alias("component"), F.count("*").alias("review_count"), F.count_distinct("shop_key").alias("shop_count"), F.collect_list(F.concat_ws(":", "shop_key", F.col("review_id").cast("string"))).alias("names"))
-    return groups.filter("review_count > 1").select("component", "review_count", "shop_count", hashing.fingerprint(F.col("names")).alias("fingerprint"))
+    """Groups of reviews with equal normalised text: map-side counts, and names hashed in order by streaming tasks."""
+    rows = members(spark, sf_dir)
+    groups = rows.groupBy("component").agg(F.count("*").alias("review_count"), F.count_distinct("shop_key").alias("shop_count"))
+    return groups.join(hashing.fingerprints(rows, "component", sim.member_name()), "component")
 
 
 @query(f"""{REVIEWS_N} SELECT review_id, copies, n_counted, coalesce(toxic, 0) <> 1 AND normalized <> '' AND (n_counted >= 12 OR copies >= 3) AS eligible FROM (
@@ -55,7 +67,7 @@ def exact_duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Excluded reviews (here: labelled toxic) take no part but count as copies."""
     rules = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("review_id"), (F.col("toxic") == 1).alias("excluded"))
-    rows = reviews(spark, sf_dir).join(rules, "review_id", "left")
+    rows = spread(reviews(spark, sf_dir)).join(rules, "review_id", "left")
     return sim.eligible(rows, counted=LETTER, excluded=F.col("excluded")).select("review_id", "copies", "n_counted", "eligible")
 
 
@@ -108,13 +120,11 @@ def hybrid_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
-def ratio_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lexical similarity, the greater of ratio and Dice, of pairs with Dice >= 0.98; later reviews come first in a pair."""
-    rows = stored(normal(spark, sf_dir).select("review_id", "shop_key", "normalized"), "normalized")
-    pairs = sim.dice_pairs(rows, 0.98)
-    texts = rows.select("review_id", "normalized")
-    pairs = pairs.join(texts.toDF("left_id", "left"), "left_id").join(texts.toDF("right_id", "right"), "right_id")
-    return pairs.repartition("left_id", "right_id").select("left_id", "right_id", F.round(sim.lexical("right", "left", "dice"), 6).alias("lexical"))
+def lexical_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lexical similarity, the greater of ratio and Dice, of all pairs of reviews' texts at 0.95 or more, in both orders."""
+    rows = normal(spark, sf_dir).filter("normalized <> ''").groupBy(F.sha2("normalized", 256)).agg(F.min("review_id").alias("text_id"), F.first("normalized").alias("normalized"))
+    found = sim.lexical_pairs(stored(rows.select("text_id", "normalized"), "texts"), 0.95)
+    return found.select("left_id", "right_id", F.round("forward", 6).alias("forward"), F.round("backward", 6).alias("backward"))
 
 
 @query(
@@ -191,15 +201,13 @@ lab AS (SELECT r.review_id, r.shop_key, sl.label AS same_label, CASE WHEN judged
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(review_id, shop_key, same_label, cross_label) of every review."""
-    every = stored(normal(spark, sf_dir).drop("text"), "normalized")
-    out = every.select("review_id", "shop_key")
-    for name, h in (("same_label", F.concat_ws("|", "shop_key", "normalized")), ("cross_label", F.col("normalized"))):
-        keyed = every.filter("normalized <> ''").withColumn("k", h)
-        rows = stored(keyed.join(sim.members_of(sim.exact_links(keyed, text="k")), "review_id"), "members")
+    rows = keyed(spark, sf_dir)
+    out = reviews(spark, sf_dir).select("review_id", "shop_key")
+    for name, keys in (("same_label", ("shop_key", "text_key")), ("cross_label", ("text_key",))):
+        found = stored(equal_texts(rows, *keys), "members")
         if name == "cross_label":
-            rows = rows.join(rows.groupBy("component").agg(F.count_distinct("shop_key").alias("shops")).filter("shops >= 2"), "component", "left_semi")
-        found = rows.select("review_id", "component").join(judged_groups(rows, "component"), "component").select("review_id", F.col("label").alias(name))
-        out = out.join(found, "review_id", "left")
+            found = found.join(found.groupBy("component").agg(F.count_distinct("shop_key").alias("shops")).filter("shops >= 2"), "component", "left_semi")
+        out = out.join(found.select("review_id", "component").join(judged_groups(found, "component"), "component").select("review_id", F.col("label").alias(name)), "review_id", "left")
     return out
 
 
@@ -219,7 +227,7 @@ def shop_label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{GROUPS} SELECT component, bool_and(review_id % 7 <> 0) AS valid FROM members GROUP BY component")
 def valid_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A group is valid while every member's text is the analysed one; here each seventh review has changed since."""
-    analysed = members(spark, sf_dir).select("component", "review_id", F.sha2("normalized", 256).alias("text_hash"))
+    analysed = members(spark, sf_dir).select("component", "review_id", F.col("text_key").alias("text_hash"))
     changed = F.when(F.col("review_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
     now = reviews(spark, sf_dir).select("review_id", F.sha2(F.when(F.col("review_id") % 7 == 0, changed).otherwise(text.normalized(F.col("text"))), 256).alias("now_hash"))
     return analysed.join(now, "review_id").groupBy("component").agg(F.bool_and(F.col("text_hash") == F.col("now_hash")).alias("valid"))
@@ -227,14 +235,19 @@ def valid_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{GROUPS}, {JUDGED}, o AS (SELECT component, n AS review_count, direction, label, latest_day, row_number() OVER (ORDER BY n DESC, latest_day DESC NULLS LAST, component) AS by_count, row_number() OVER (ORDER BY latest_day DESC NULLS LAST, n DESC, component) AS by_latest FROM judged) SELECT * FROM o WHERE by_count <= 20 OR by_latest <= 20")
 def groups_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first page of groups, 20 a page, in either order; a top-k, so no global sort of all groups is kept."""
+    """The first page of groups, 20 a page, in either order: a top-k each, and a count of what stands before the few rows left."""
     rows = stored(members(spark, sf_dir), "members")
-    groups = stored(sim.group_rollup(rows).join(judged_groups(rows, "component"), "component").select("component", "review_count", "direction", "label", "latest_day"), "groups")
-    orders = {"by_count": [F.desc("review_count"), F.desc_nulls_last("latest_day"), "component"], "by_latest": [F.desc_nulls_last("latest_day"), F.desc("review_count"), "component"]}
-    for name, by in orders.items():
-        place = groups.select("component", F.row_number().over(Window.orderBy(*by)).alias(name))
-        groups = groups.join(place, "component")
-    return groups.filter("by_count <= 20 or by_latest <= 20")
+    groups = rows.groupBy("component").agg(F.count("*").alias("review_count"), F.max("posted_day").alias("latest_day"), sim.direction(F.col("stars")).alias("direction"))
+    groups = stored(groups.join(judged_groups(rows, "component"), "component").select("component", "review_count", "direction", "label", "latest_day"), "groups")
+    orders = {"by_count": [F.desc("review_count"), F.desc_nulls_last("latest_day"), F.asc("component")], "by_latest": [F.desc_nulls_last("latest_day"), F.desc("review_count"), F.asc("component")]}
+    first = [groups.orderBy(*by).limit(20) for by in orders.values()]
+    shown = F.broadcast(first[0].union(first[1]).distinct())  # 40 rows at most
+    day = lambda c: F.coalesce(F.col(c), F.lit(-(2**31)))
+    places = {"by_count": ("review_count", "latest_day"), "by_latest": ("latest_day", "review_count")}
+    as_key = lambda side, cols: F.struct(*(-day(f"{side}.{c}") for c in cols), F.col(f"{side}.component"))
+    pairs = shown.alias("s").join(groups.alias("g"), F.lit(True))
+    counted = pairs.groupBy("s.component").agg(*(F.count_if(as_key("g", cols) <= as_key("s", cols)).cast("int").alias(name) for name, cols in places.items()))
+    return shown.join(counted, "component")
 
 
 @query(f"{GROUPS} SELECT component, bool_or(profile_url = '') AS lacks_profile, bool_or(posted_day IS NULL) AS lacks_date, count(*) AS review_count, max(review_id) AS newest FROM members GROUP BY component")
@@ -247,3 +260,110 @@ def hashed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The offline provider's vectors of all reviews, by their length and digest."""
     rows = normal(spark, sf_dir).select("review_id", vectors.embedded(F.col("normalized"), vectors.HashedNgrams()).alias("v"))
     return rows.select("review_id", F.size("v").alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 4).alias("norm"))
+
+
+#: Groups by Dice alone at 0.95, as the whole analysis makes them: excluded reviews (here: toxic ones) and groups, short texts, both scopes.
+INSIGHT = (
+    GRAMS.replace("WITH reviews_v", "WITH RECURSIVE reviews_v").replace("{scope}", "")
+    + """, k AS (SELECT r.*, count(*) OVER (PARTITION BY normalized) AS copies, len(regexp_extract_all(normalized, '\\p{L}')) < 12 AS short, coalesce(toxic, 0) = 1 AS excluded FROM r LEFT JOIN labels ON doc_id = review_id),
+e AS (SELECT *, count(*) OVER (PARTITION BY normalized) AS cross_copies, count(*) OVER (PARTITION BY normalized, shop_key) AS same_copies FROM k WHERE NOT excluded AND normalized <> '' AND (NOT short OR copies >= 3)),
+pr AS (SELECT CASE WHEN x.shop_key = y.shop_key THEN 'same' ELSE 'cross' END AS scope, left_id, right_id, dice FROM d JOIN e x ON x.review_id = left_id JOIN e y ON y.review_id = right_id
+  WHERE CASE WHEN x.short OR y.short THEN x.normalized = y.normalized AND CASE WHEN x.shop_key = y.shop_key THEN x.same_copies ELSE x.cross_copies END >= 3 ELSE dice >= 0.95 END),
+ab AS (SELECT scope, left_id AS a, right_id AS b FROM pr UNION SELECT scope, right_id, left_id FROM pr),
+reach AS (SELECT scope, a AS node, a AS other FROM ab UNION SELECT reach.scope, reach.node, ab.b FROM reach JOIN ab ON reach.other = ab.a AND reach.scope = ab.scope),
+node AS (SELECT scope, node AS review_id, min(other) AS component FROM reach GROUP BY ALL),
+best AS (SELECT scope, review_id, max(dice) AS dice FROM (SELECT scope, left_id AS review_id, dice FROM pr UNION ALL SELECT scope, right_id, dice FROM pr) GROUP BY ALL),
+members AS (SELECT node.scope || '-' || component AS component, node.scope, review_id, shop_key, stars, profile_url, posted_day, best.dice FROM node JOIN best USING (scope, review_id) JOIN r USING (review_id)), """
+    + JUDGED.replace("AS hit,\n  CASE WHEN min(stars)", "AND component LIKE 'cross%' AS hit,\n  CASE WHEN min(stars)")
+    + """, names AS (SELECT component, scope, max(dice) AS max_lexical, left(sha256(string_agg(shop_key || ':' || review_id, '|' ORDER BY shop_key || ':' || review_id)), 20) AS fingerprint FROM members GROUP BY ALL),
+groups AS (SELECT judged.*, scope, max_lexical, fingerprint, scope || '-' || fingerprint AS group_id, CASE WHEN fingerprint < '2' THEN 'known' END AS excluded_reason FROM judged JOIN names USING (component)),
+live AS (SELECT members.*, groups.label, groups.direction, groups.group_id FROM members JOIN groups USING (component) WHERE excluded_reason IS NULL)"""
+)
+
+
+def insights(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The whole analysis by Dice; excluded are toxic reviews, and groups whose fingerprint begins with 0 or 1."""
+    toxic = table(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").alias("review_id"))
+    rows = spread(reviews(spark, sf_dir))
+    rules = insight.Rules(reviews=rows.select("shop_key", "review_id").join(toxic, "review_id", "left_semi").select("shop_key", "review_id"))
+    at = insight.Thresholds(lexical=0.95, counted=LETTER)
+    found = insight.analyze(rows, rules, at, ratio=False)
+    known = F.when(F.col("fingerprint") < "2", "known")
+    groups = found["groups"].withColumn("excluded_reason", known)
+    members_ = found["members"].withColumn("excluded_reason", F.when(F.regexp_extract("group_id", "-(.*)", 1) < "2", "known"))
+    prepared = rows.select("shop_key", "review_id", "text")
+    return {"groups": groups, "members": members_, "reviews": insight.summaries(prepared, members_)}
+
+
+@query(f"{INSIGHT} SELECT group_id, scope, n AS review_count, shops AS shop_count, round(max_lexical, 6) AS max_lexical, latest_day, direction, label, excluded_reason, concat_ws('; ', CASE WHEN a THEN '3 posts within 14 days' END, CASE WHEN b THEN 'same profile in several shops' END, CASE WHEN c THEN '3 reviews across shops' END) AS evidence FROM groups")
+def analysis_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both scopes: admission, components, rollup, evidence, label, exclusion."""
+    groups = insights(spark, sf_dir)["groups"]
+    return groups.select("group_id", "scope", "review_count", "shop_count", F.round("max_lexical", 6).alias("max_lexical"), "latest_day", "direction", "label", "excluded_reason", F.array_join("evidence", "; ").alias("evidence"))
+
+
+SUMMARY = """, s AS (SELECT review_id, max(CASE WHEN scope = 'same' THEN label END) AS same_label, max(CASE WHEN scope = 'cross' THEN label END) AS cross_label, max(CASE WHEN scope = 'same' THEN direction END) AS same_direction,
+  max(CASE WHEN scope = 'cross' THEN direction END) AS cross_direction, max(dice) AS dice, string_agg(group_id, ',' ORDER BY group_id) AS group_ids FROM live GROUP BY review_id),
+reviewed AS (SELECT r.review_id, r.shop_key, r.text, first_seen_seq, coalesce(CASE WHEN cross_label = 'suspected' OR same_label IS NULL THEN cross_label ELSE same_label END, '') AS label,
+  coalesce(CASE WHEN cross_label = 'suspected' OR same_label IS NULL THEN cross_direction ELSE same_direction END, '') AS direction, round(coalesce(dice, 0.0), 6) AS max_lexical, coalesce(group_ids, '') AS group_ids FROM r LEFT JOIN s USING (review_id))"""
+
+
+@query(f"{INSIGHT}{SUMMARY} SELECT review_id, sha256(text) AS text_hash, label, direction, max_lexical FROM reviewed")
+def analysis_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a review: its label, direction and greatest score over its groups."""
+    return insights(spark, sf_dir)["reviews"].select("review_id", "text_hash", "label", "direction", F.round("max_lexical", 6).alias("max_lexical"))
+
+
+@query(f"{INSIGHT}, edited AS (SELECT DISTINCT component FROM live WHERE review_id % 7 = 0) SELECT shop_key, count(DISTINCT CASE WHEN label = 'highly_similar' THEN review_id END) AS similar_count, count(DISTINCT CASE WHEN label = 'suspected' THEN review_id END) AS suspected_count FROM live WHERE component NOT IN (SELECT component FROM edited) GROUP BY shop_key")
+def current_shop_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts a shop over groups that are neither excluded nor made stale by a changed review; here each seventh review has changed."""
+    found = insights(spark, sf_dir)
+    changed = reviews(spark, sf_dir).withColumn("text", F.when(F.col("review_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    valid, _ = insight.current(found["members"].filter("excluded_reason is null"), found["reviews"], changed)
+    return insight.shop_counts(valid)
+
+
+@query(f"{INSIGHT}{SUMMARY} SELECT review_id, label, max_lexical FROM reviewed WHERE review_id % 7 <> 0")
+def current_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Analysed reviews whose own text is still the analysed one."""
+    found = insights(spark, sf_dir)
+    changed = reviews(spark, sf_dir).withColumn("text", F.when(F.col("review_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    _, fresh = insight.current(found["members"], found["reviews"], changed)
+    return fresh.select("review_id", "label", F.round("max_lexical", 6).alias("max_lexical"))
+
+
+@query(f"{INSIGHT}{SUMMARY}, paged AS (SELECT *, row_number() OVER (PARTITION BY shop_key ORDER BY first_seen_seq DESC) AS row_no, count(*) OVER (PARTITION BY shop_key) AS n FROM reviewed WHERE label IN ('highly_similar', 'suspected')) SELECT shop_key, review_id, label, direction, max_lexical, group_ids, CAST(row_no AS INT) AS row_no, n > 3 AS has_next FROM paged WHERE row_no <= 3")
+def labelled_shop_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each shop's first three similar reviews with label, scores and the groups they link to."""
+    found = insights(spark, sf_dir)
+    rows = insight.with_labels(reviews(spark, sf_dir), found["reviews"], found["members"])
+    page = lists.pages(lists.viewed(rows, "similar"), ["shop_key"], [F.desc("first_seen_seq")], 1, 3)
+    return page.select("shop_key", "review_id", "label", "direction", F.round("max_lexical", 6).alias("max_lexical"), F.array_join("group_ids", ",").alias("group_ids"), "row_no", "has_next")
+
+
+@query(f"{INSIGHT}, o AS (SELECT DISTINCT group_id, n AS review_count, latest_day FROM groups WHERE excluded_reason IS NULL AND component IN (SELECT component FROM members WHERE shop_key = 'src3')) SELECT * FROM o ORDER BY review_count DESC, latest_day DESC NULLS LAST, group_id LIMIT 5")
+def shop_top_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five groups that have a member in one shop."""
+    found = insights(spark, sf_dir)
+    return insight.top_groups(found["groups"], found["members"], "src3").select("group_id", "review_count", "latest_day")
+
+
+@query(f"{INSIGHT}, best_group AS (SELECT * FROM groups WHERE excluded_reason IS NULL AND scope = 'cross' AND direction = 'mixed' ORDER BY max_lexical DESC, n DESC, latest_day DESC NULLS LAST, group_id LIMIT 1) SELECT best_group.group_id, members.review_id, members.shop_key, round(members.dice, 6) AS max_lexical, posted_day FROM best_group JOIN members USING (component)")
+def group_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed cross-shop group of the greatest similarity, with its reviews and their scores."""
+    found = insights(spark, sf_dir)
+    best = lists.filtered_groups(found["groups"], "cross", "mixed").orderBy(*lists.group_order("similarity")).limit(1).select("group_id")
+    rows = found["members"].join(F.broadcast(best), "group_id").drop("label", "direction").join(reviews(spark, sf_dir), ["shop_key", "review_id"])
+    return rows.select("group_id", "review_id", "shop_key", F.round("max_lexical", 6).alias("max_lexical"), "posted_day")
+
+
+@query(f"{INSIGHT}{SUMMARY} SELECT (SELECT count(*) FROM reviewed) AS reviews, (SELECT count(*) FROM groups WHERE excluded_reason IS NULL) AS groups, (SELECT count(*) FROM reviewed WHERE label = 'suspected') AS suspected_reviews")
+def run_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return insight.statistics(insights(spark, sf_dir))
+
+
+@query()
+def full_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratio, Dice and embeddings together, over all reviews; tests hold it against a brute-force version."""
+    found = insight.analyze(spread(reviews(spark, sf_dir)), at=insight.Thresholds(lexical=0.95, semantic=0.98, counted=LETTER), provider=vectors.HashedNgrams())
+    return found["groups"].select("group_id", "review_count", "label", F.round("max_lexical", 6).alias("max_lexical"), F.round("max_semantic", 6).alias("max_semantic"))

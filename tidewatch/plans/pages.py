@@ -25,10 +25,10 @@ def shop_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAGE = f"{R}, p AS (SELECT shop_key, review_id, stars, row_number() OVER (PARTITION BY shop_key ORDER BY first_seen_seq DESC) AS row_no FROM reviews_v)"
 
 
-@query(f"{PAGE} SELECT shop_key, review_id, stars, row_no > 20 AS has_previous FROM p WHERE row_no > 20 AND row_no <= 40")
+@query(f"{PAGE}, c AS (SELECT shop_key, count(*) AS n FROM p GROUP BY shop_key) SELECT shop_key, review_id, stars, n > 40 AS has_next FROM p JOIN c USING (shop_key) WHERE row_no > 20 AND row_no <= 40")
 def shop_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each shop's second page of 20 reviews, newest first."""
-    return lists.pages(reviews(spark, sf_dir), ["shop_key"], [F.desc("first_seen_seq")], 2, 20).select("shop_key", "review_id", "stars", (F.col("row_no") > 20).alias("has_previous"))
+    return lists.pages(reviews(spark, sf_dir), ["shop_key"], [F.desc("first_seen_seq")], 2, 20).select("shop_key", "review_id", "stars", "has_next")
 
 
 @query("SELECT 'shop' AS kind, s_suppkey AS id FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE contains(lower(s_name || ' ' || n_name), 'supplier') AND contains(lower(s_name || ' ' || n_name), 'a') UNION ALL SELECT 'review', doc_id FROM documents WHERE contains(lower(text), 'the') AND contains(lower(text), 'a')")
@@ -44,7 +44,7 @@ def search(spark: SparkSession, sf_dir: str) -> DataFrame:
   CASE WHEN count(DISTINCT CASE WHEN profile_url <> '' THEN profile_url END) > 1 THEN 'different_profiles' WHEN count(DISTINCT CASE WHEN profile_url <> '' THEN profile_url END) = 1 AND count_if(profile_url = '') = 0 THEN 'same_profile' ELSE 'insufficient' END AS identity_status
   FROM reviews_v GROUP BY author HAVING count(DISTINCT shop_key) >= 2""")
 def same_name_reviewers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lists.same_names(reviews(spark, sf_dir))
+    return lists.same_names(reviews(spark, sf_dir)).drop("name")
 
 
 @query(f"""{R}, p AS (SELECT row_number() OVER (ORDER BY posted_day IS NULL, posted_day DESC, first_seen_seq DESC) AS row_no, review_id,

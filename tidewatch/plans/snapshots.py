@@ -43,6 +43,10 @@ class Snapshots:
         orphan = (F.col("x.status") == "running") & (F.col("run_id") < F.col("newest"))
         return last.crossJoin(F.broadcast(newest)).select("run_id", F.when(orphan, "failed").otherwise(F.col("x.status")).alias("status"), "x.stage", "x.percent", "x.error", "started_at")
 
+    def status(self) -> DataFrame:
+        """The run to show, in one row: a running one first, then the latest."""
+        return self.runs().orderBy(F.when(F.col("status") == "running", 0).otherwise(1), F.desc("run_id")).limit(1)
+
     def publish(self, run: int, tables: dict[str, DataFrame]) -> None:
         try:
             for name, df in tables.items():

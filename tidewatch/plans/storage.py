@@ -3,14 +3,26 @@
 from __future__ import annotations
 
 import gc
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the session has it; a folder of our own only where it is unset, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/tidewatch").rstrip("/")
+    """spark.checkpoint.dir as the session has it; a folder of our own only where it is unset and all runs on this machine, as in tests."""
+    folder, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if not folder and context._jsc.sc().getCheckpointDir().isDefined():
+        folder = context._jsc.sc().getCheckpointDir().get()
+    if not folder and not re.match(r"local($|\[)", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (folder or "file:///tmp/checkpoints/tidewatch").rstrip("/")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores, if its files give fewer tasks than there are cores; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def stored(df: DataFrame, kind: str) -> DataFrame:
