@@ -20,4 +20,4 @@ def query(oracle: str | None = None) -> Callable:
     return add
 
 
-from tidewatch.plans import analysis, history, pages  # noqa: E402, F401
+from tidewatch.plans import analysis, details, history, pages  # noqa: E402, F401

@@ -81,7 +81,7 @@ def age_stream(observations: DataFrame, zone: str = "Asia/Taipei") -> DataFrame:
                 if row.kind == "short" and back_at is None:
                     back_at = row.observed_at - pd.Timedelta(seconds=now_value * times.SECONDS[now_unit])
                 if row.kind == "long" and not blocked and date is None and now_unit == unit and value is not None and now_value > value:
-                    date = stepped(last_at + (row.observed_at - last_at) / 2, now_unit, now_value, zone)
+                    date = stepped(pd.Timestamp(last_at) + (row.observed_at - pd.Timestamp(last_at)) / 2, now_unit, now_value, zone)
                 run += 1
             unit, value, text, last_at = now_unit, now_value, row.time_text, row.observed_at
             out.append((key[0], row.seq, run, unit, value, row.kind, back_at, date))
@@ -96,7 +96,7 @@ def age_stream(observations: DataFrame, zone: str = "Asia/Taipei") -> DataFrame:
 
 def stepped(at: pd.Timestamp, unit: str, value: int, zone: str):
     """The local date `value` weeks, months or years before an instant (UTC); the day is cut to the month's end."""
-    local = at.tz_localize("UTC").tz_convert(zone).tz_localize(None).normalize()
+    local = pd.Timestamp(at).tz_localize("UTC").tz_convert(zone).tz_localize(None).normalize()
     return (local - pd.DateOffset(**{unit + "s": value})).date()
 
 
