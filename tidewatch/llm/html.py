@@ -34,9 +34,20 @@ CONTAINERS = BLOCKS - frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th".split())
 CLOSES_P = BLOCKS - {"body", "html"}
 #: An open element of the first kind ends when the second kind starts.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot", "thead"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option", "optgroup"}, "p": CLOSES_P}
-#: Words in class, id or role that name something other than the article.
-BOILERPLATE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|footer|header|menu|modal|nav|navbar|navigation|newsletter|notices?|popup|promo\w*|related|replies|respond|share|sharing|sidebar|sidenav|site-?header|site-?footer|skip|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
-MAIN = re.compile(r"(?:^|[\s_-])(?:article|main|content|post|entry|story)(?:$|[\s_-])", re.I)
+#: Elements that a start tag can end, and those that stop the search for one.
+STOPS = BLOCKS | frozenset(ENDS)
+
+
+def named(words: str) -> re.Pattern:
+    return re.compile(rf"(?:^|[\s_-])(?:{words})(?:$|[\s_-])", re.I)
+
+
+#: Words in class or id that name something other than the article: in any element, in containers, and in those
+#: unless another word names the article. Reader comments go whatever else their name holds.
+COMMENTS = named("comments?|commentlist|disqus|replies|respond")
+BOILERPLATE = named(r"ads?|advert\w*|banner|breadcrumbs?|consent|cookies?|footer|header|menu|nav|navbar|navigation|notices?|sidebar|sidenav|site-?header|site-?footer")
+BESIDE = named(r"modal|newsletter|popup|promo\w*|related|share|sharing|skip|social|sponsor\w*|subscribe|toolbar|widget")
+MAIN = named("article|main|content|post|entry|story")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu menubar".split())
 
@@ -51,37 +62,53 @@ class Node:
 
 
 class TreeBuilder(HTMLParser):
-    """Nodes of what is not skipped; text pieces are strings among the children."""
+    """Nodes of what is not skipped; text pieces are strings among the children. Time is linear in the page, however its tags nest."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("html")
         self.stack = [self.root]
+        self.stops: list[int] = []  # depths of open elements in STOPS
+        self.opened: dict[str, list[int]] = {}  # depths of open elements by tag
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in ("html", "body"):
             return
-        for depth in range(len(self.stack) - 1, 0, -1):  # implied ends
+        for depth in reversed(self.stops):  # implied ends
             open_tag = self.stack[depth].tag
             if tag in ENDS.get(open_tag, ()):
-                del self.stack[depth:]
+                self.close_from(depth)
                 break
-            if open_tag in BLOCKS and open_tag not in ("p",):
+            if open_tag in BLOCKS and open_tag != "p":
                 break
-        node = Node(tag, tag in SKIPPED or self.named_boilerplate(tag, attrs))
+        inside = bool(self.opened.get("article") or self.opened.get("main"))
+        skipped = tag in SKIPPED and not (tag == "header" and inside)  # an article's own header has its title
+        node = Node(tag, skipped or self.named_boilerplate(tag, attrs))
         self.stack[-1].children.append(node)
         if tag not in VOID:
+            depth = len(self.stack)
             self.stack.append(node)
+            self.opened.setdefault(tag, []).append(depth)
+            if tag in STOPS:
+                self.stops.append(depth)
+
+    def close_from(self, depth: int) -> None:
+        """End the open elements from this depth on."""
+        while len(self.stack) > depth:
+            self.opened[self.stack.pop().tag].pop()
+        while self.stops and self.stops[-1] >= depth:
+            self.stops.pop()
 
     def named_boilerplate(self, tag: str, attrs: list) -> bool:
         if tag in ("article", "main", "body"):
             return False
+        container = tag in CONTAINERS
         for name, value in attrs:
             if not value:
                 if name == "hidden":
                     return True
             elif name in ("class", "id"):
-                if BOILERPLATE.search(value) and not MAIN.search(value):
+                if COMMENTS.search(value) or (BOILERPLATE.search(value) or container and BESIDE.search(value)) and not MAIN.search(value):
                     return True
             elif name == "role" and value.lower() in ROLES or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
                 return True
@@ -91,10 +118,8 @@ class TreeBuilder(HTMLParser):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        for depth in range(len(self.stack) - 1, 0, -1):
-            if self.stack[depth].tag == tag:
-                del self.stack[depth:]
-                return
+        if self.opened.get(tag):
+            self.close_from(self.opened[tag][-1])
 
     def handle_data(self, data: str) -> None:
         self.stack[-1].children.append(data)
@@ -235,7 +260,9 @@ def main_text(html: str | None) -> str:
 def extract(df: DataFrame, html: str = "html", into: str = "text") -> DataFrame:
     """`df` without `html`, with the main text of each page (`into`) and its `n_chars`.
 
-    Null and empty pages, and pages without text, give the empty string.
+    Null and empty pages, and pages without text, give the empty string; repeated rows give equal
+    ones, and pages of any length or depth are read whole. Any white space of Unicode, no-break
+    spaces included, counts as white space. Columns named like the added ones are replaced.
     """
     keep = [c for c in df.columns if c not in (html, into, "n_chars")]
     schema = df.select(*keep).schema.add(into, "string").add("n_chars", "long")
