@@ -52,6 +52,22 @@ class Attachment:
     place: int
 
 
+def amount(part: dict, name: str, default: float) -> float:
+    """A finite number above 0 of a part, else the default."""
+    x = part.get(name)
+    return x if isinstance(x, int | float) and not isinstance(x, bool) and 0 < x < 1e9 else default
+
+
+def content_of(text: str | None):
+    """The parts that a JSON text holds; a text that is no JSON is itself the content."""
+    if not text:
+        return text
+    try:
+        return json.loads(text)
+    except ValueError:
+        return text
+
+
 @dataclass
 class Visitor:
     """Flattens content parts; `text` is escaped, placeholders are control strings."""
@@ -60,28 +76,29 @@ class Visitor:
     attachments: list[Attachment] = field(default_factory=list)
 
     def visit(self, part) -> None:
-        if part is None:
-            return
-        if isinstance(part, str):
-            return self.visit_text({"text": part})
-        if isinstance(part, list):
-            for x in part:
-                self.visit(x)
-            return None
-        getattr(self, f"visit_{part.get('type') or 'text'}", self.visit_other)(part)
+        """Parts in order, lists within lists included. What is no part (a number, say) counts as its text."""
+        waiting = [part]
+        while waiting:  # no recursion, so depth is no limit
+            x = waiting.pop()
+            if isinstance(x, list):
+                waiting.extend(reversed(x))
+            elif isinstance(x, dict):
+                getattr(self, f"visit_{x.get('type') or 'text'}" if x.get("type") in (None, "", "text", "image", "audio", "document") else "visit_other")(x)
+            elif x is not None:
+                self.text.append(escape(x if isinstance(x, str) else json.dumps(x)))
 
     def visit_text(self, part: dict) -> None:
-        self.text.append(escape(part.get("text") or ""))
+        said = part.get("text")
+        self.text.append(escape(said if isinstance(said, str) else "" if said is None else json.dumps(said)))
 
     def visit_image(self, part: dict) -> None:
-        across, down = (max(1, math.ceil((part.get(x) or PATCH) / PATCH)) for x in ("width", "height"))
-        self.attach("image", part, across * down)
+        self.attach("image", part, math.prod(max(1, math.ceil(amount(part, x, PATCH) / PATCH)) for x in ("width", "height")))
 
     def visit_audio(self, part: dict) -> None:
-        self.attach("audio", part, max(1, math.ceil((part.get("seconds") or 0) * SOUND_TOKENS)))
+        self.attach("audio", part, max(1, math.ceil(amount(part, "seconds", 0) * SOUND_TOKENS)))
 
     def visit_document(self, part: dict) -> None:
-        self.attach("document", part, max(1, int(part.get("pages") or 1)) * PAGE_TOKENS)
+        self.attach("document", part, max(1, int(amount(part, "pages", 1))) * PAGE_TOKENS)
 
     def visit_other(self, part: dict) -> None:
         self.attach(escape(str(part.get("type"))), part, 1)
@@ -130,7 +147,10 @@ def format_turns(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     """Each row formatted: `formatted`, its loss mask, attachments and their tokens. `parts`: content is JSON of typed parts.
 
     A conversation is its rows' `formatted` by turn; ties by role, then text; nulls first.
-    Mask places are within the row. Rows need no others, so no conversation is gathered.
+    Mask places are within the row. Rows need no others, so no conversation is gathered. Null
+    roles and contents are empty, repeated rows are turns of their own, texts may have any length,
+    and other columns of `df` don't matter. With `parts`, a text that is no JSON is plain text, a
+    part that is no object is its text, and sizes that are no numbers above 0 count as the least.
     """
     schema = df.select(F.col(conv).alias("conv"), F.col(turn).alias("turn")).schema
     schema = T.StructType([*schema, *T.DataType.fromDDL(TURN_COLUMNS)])
@@ -141,7 +161,7 @@ def format_turns(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
         for batch in batches:
             texts, masks, attachments = [], [], []
             for r, c in zip(batch.column("role").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                text, found = format_turn(r, json.loads(c) if parts and c else c)
+                text, found = format_turn(r, content_of(c) if parts else c)
                 texts.append(text)
                 masks.append([{"start": a, "end": b} for a, b in loss_spans(text)])
                 attachments.append([vars(x) for x in found])
@@ -152,16 +172,16 @@ def format_turns(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
 
 
 def digests(turns: DataFrame, key: str = "conv_id") -> DataFrame:
-    """Per conversation, read back from `formatted`: turns, digests, characters under the mask.
+    """Per conversation, read back from `formatted`: turns, digests, characters under the mask, attachments and the tokens they expand to.
 
     Rows are dealt by conversation and sorted; a task streams over them with running digests,
     so that the longest conversation takes no more memory than a batch.
     """
     name = "formatted"
-    rows = turns.select("conv", "turn", "role_key", name, "mask")
+    rows = turns.select("conv", "turn", "role_key", name, "mask", F.size("attachments").alias("attached"), "extra_tokens")
     rows = rows.repartition(F.col("conv")).sortWithinPartitions(*(F.col(c).asc_nulls_first() for c in ("conv", "turn", "role_key", name)))
     schema = turns.select(F.col("conv").alias(key)).schema
-    for column, kind in (("n_turns", "long"), ("turns_sha256", "string"), ("loss_chars", "long"), ("loss_sha256", "string"), ("formatted_chars", "long")):
+    for column, kind in (("n_turns", "long"), ("turns_sha256", "string"), ("loss_chars", "long"), ("loss_sha256", "string"), ("formatted_chars", "long"), ("n_attachments", "long"), ("extra_tokens", "long")):
         schema = schema.add(column, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,14 +189,14 @@ def digests(turns: DataFrame, key: str = "conv_id") -> DataFrame:
         done: list[tuple] = []
 
         def close() -> None:
-            done.append((current[0], state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
+            done.append((current[0], state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), *state[4:]))
 
         for batch in batches:
-            for conv, text, mask in zip(batch.column("conv").to_pylist(), batch.column(name).to_pylist(), batch.column("mask").to_pylist(), strict=True):
+            for conv, text, mask, attached, extra in zip(*(batch.column(c).to_pylist() for c in ("conv", name, "mask", "attached", "extra_tokens")), strict=True):
                 if current is None or current[0] != conv:
                     if current is not None:
                         close()
-                    current, state = (conv,), [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                    current, state = (conv,), [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
                 for role, said in parse_turns(text):
                     state[0] += 1
                     state[1].update(f"{role}\n{said}\n".encode())
@@ -185,6 +205,8 @@ def digests(turns: DataFrame, key: str = "conv_id") -> DataFrame:
                     state[2] += len(said)
                     state[3].update(said.encode())
                 state[4] += len(text)
+                state[5] += attached
+                state[6] += extra
             if done:
                 yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in done], arrow_schema)
                 done = []
