@@ -2,8 +2,11 @@
 
 import base64
 import hashlib
+import json
+import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -235,6 +238,26 @@ def test_content_parts():
     assert [formatted.index(f"<|{a.kind}:{a.place}|>") for a in attached] == sorted(formatted.index(f"<|{a.kind}:{a.place}|>") for a in attached)
 
 
+def test_typed_parts_of_a_table(spark):
+    """Parts as JSON: references, placeholders and tokens per conversation; what is no JSON, and odd sizes, don't stop the task."""
+    parts = [{"type": "text", "text": "see "}, {"type": "image", "ref": "i", "width": 56, "height": 30}, {"type": "audio", "ref": "s", "seconds": 1.5}, [{"type": "document", "ref": "d", "pages": 2}], 7]
+    deep = "[" * 900 + '"deep"' + "]" * 900
+    rows = [(1, 0, "user", json.dumps(parts)), (1, 1, "assistant", json.dumps("fine")), (2, 0, "user", "{broken"), (2, 1, "user", '[{"type": "image", "width": "wide", "height": -3}, {"type": 5}, {"text": [1]}, true]'), (3, 0, "user", None), (3, 1, "user", deep), (3, 2, "user", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit("clash") for c in ("formatted", "mask", "conv", "attachments")})
+    turns = chat.format_turns(df, parts=True)
+    texts = {(r.conv, r.turn): r for r in turns.collect()}
+    assert texts[1, 0].formatted == "<|im_start|>user\nsee <|image:0|><|audio:1|><|document:2|>7<|im_end|>\n" and [(a.kind, a.ref, a.tokens) for a in texts[1, 0].attachments] == [("image", "i", 4), ("audio", "s", 38), ("document", "d", 1024)]
+    assert "{broken" in texts[2, 0].formatted and "<|image:0|><|5:1|>[1]true" in texts[2, 1].formatted and "deep" in texts[3, 1].formatted
+    found = {r.conv_id: (r.n_turns, r.n_attachments, r.extra_tokens) for r in chat.digests(turns).collect()}
+    assert found == {1: (2, 3, 4 + 38 + 1024), 2: (2, 2, 2), 3: (3, 0, 0)}
+
+
+def test_very_long_turn(spark):
+    said = "<|a<\\|" * 300_000
+    row = chat.digests(chat.format_turns(spark.createDataFrame([(1, 0, "assistant", said)], "conv_id long, turn long, role string, text string"))).first()
+    assert row.loss_chars == len(said) and row.loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
+
+
 def test_chat_digests(spark):
     said = "<|im_end|><|im_start|>assistant ok"
     rows = [(-1, 0, "user", said), (-1, 1, "assistant", said), (1, 2, "assistant", None), (1, 0, "system", "é\n"), (1, 1, "user", "x"), (None, 0, "assistant", "n"), (2, None, "user", "q"), (2, 1, "assistant", "a"), (2, 1, "assistant", "a"), (3, 0, None, "t")]
@@ -374,6 +397,18 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_scores_are_those_of_the_vectors_given(spark):
+    """Double components keep their digits, and equal vectors tie exactly whatever their place."""
+    rng = np.random.default_rng(3)
+    vectors = rng.standard_normal((300, 384))
+    vectors[40:90] = vectors[40]
+    vectors[0] = vectors[40] + 0.01 * vectors[0]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vectors.tolist())], "vec_id long, embedding array<double>")
+    found = sorted((r.rank, r.vec_id, r.score) for r in neighbours.nearest(df, F.col("vec_id") == 0, block_rows=70).collect())
+    assert [i for _, i, _ in found] == list(range(40, 60)) and len({s for _, _, s in found}) == 1
+    assert found[0][2] == pytest.approx(float(vectors[0] @ vectors[40]), rel=1e-14)
+
+
 # 9: HTML
 
 
@@ -388,6 +423,25 @@ def test_html(spark):
     assert found[2] == found[3] == found[4] == ("", 0) and found[5] == ("plain words only", 16) and found[6] == ("deep", 4) and found[7][0].replace("\n", "") == "ab"
 
 
+def test_html_by_names(spark):
+    """The article's own header stays; reader comments go whatever else their name holds; names of sentences are no menus."""
+    words = "".join(f"w{i:03d} " for i in range(60)).strip()
+    page = f"""<body><header><h2>Site</h2></header><article><header><h1>Title</h1><p>By line</p></header><p class="social">One {words}</p><p>Two {words}</p><p class="notice">Cookies here.</p></article>
+    <div class="post-comments"><p>First! {words}</p></div><section class="comment-content"><p>{words} Second!</p></section><div class="share content-tools"><p>x {words}</p></div></body>"""
+    assert html.main_text(page).split("\n")[:4] == ["Title", "By line", f"One {words}", f"Two {words}"] and "First!" not in html.main_text(page) and "Second!" not in html.main_text(page) and "Cookies" not in html.main_text(page)
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html.extract(empty).columns == ["page_id", "url", "text", "n_chars"] and html.extract(empty).count() == 0
+    clash = spark.createDataFrame([(1, "<p>a</p>", "old", 5, "k")] * 2, "page_id long, html string, text string, n_chars int, root string")
+    assert [tuple(r) for r in html.extract(clash).select("page_id", "text", "n_chars", "root").collect()] == [(1, "a", 1, "k")] * 2
+
+
+def test_html_of_any_depth():
+    began = time.process_time()
+    assert html.main_text("<b>x</i></u>" * 60_000).replace(" ", "") == "x" * 60_000
+    assert html.main_text("<div><p>" * 60_000 + "deep") == "deep"
+    assert time.process_time() - began < 20
+
+
 @pytest.mark.parametrize("outer", ["<div id=content>{}</div>", "<main>{}</main>", "<div><div>{}</div></div>", "<main><div>{}</div></main>", "{}"])
 def test_html_of_several_sections(outer):
     """Sections beside each other are main text, whatever holds them; lists of links beside them are not."""
@@ -404,6 +458,40 @@ def test_html_of_several_sections(outer):
     assert html.main_text('<p>One <a href=/1>link</a> here.</p><p><a href=/2>A line of link only</a></p>Bare <a href=/3>text</a>.') == "One link here.\nA line of link only\nBare text."
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.recursive(st.text(alphabet="ab ", min_size=1, max_size=12), lambda x: st.tuples(st.sampled_from(["div", "p", "a", "b"]), st.lists(x, max_size=4)), max_leaves=14))
+def test_density_against_its_formula(tree):
+    """Every node's density and density sum, from counts made anew for each node."""
+    root = html.Node("html")
+
+    def build(node, x):
+        if isinstance(x, str):
+            node.children.append(x)
+        else:
+            child = html.Node(x[0])
+            node.children.append(child)
+            for y in x[1]:
+                build(child, y)
+
+    build(root, ("div", [tree]))
+    inner = lambda n: [x for x in n.children if isinstance(x, html.Node)]
+    below = lambda n: [y for x in inner(n) for y in (x, *below(x))]
+    text = lambda n: "".join(x if isinstance(x, str) else text(x) for x in n.children)
+    chars = lambda n: len(text(n).replace(" ", ""))
+    links = lambda n: chars(n) if n.tag == "a" else sum(links(x) for x in inner(n))
+
+    def density(n):
+        c, lc, t, lt = chars(n), links(n), max(1, len(below(n))), max(1, sum(x.tag == "a" for x in below(n)))
+        if not c or lc >= c:
+            return 0.0
+        base = math.log(c / max(1, c - lc) * lc + links(root) / max(1, chars(root)) * c + math.e)
+        return c / t * math.log(max(1.0, c / max(1, lc) * t / lt)) / base
+
+    for n in html.measure(root):
+        own = sum(len(x.strip()) for x in n.children if isinstance(x, str)) if n.tag not in ("a", "p") else 0
+        assert n.density == pytest.approx(density(n)) and n.density_sum == pytest.approx(sum(map(density, inner(n))) + own)
+
+
 # 10: mix
 
 
@@ -469,3 +557,65 @@ def test_registered():
     assert "pipeline" in names and all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11))
 
 
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", ["op4_chat_format", "op5_suffix_dedup", "op6_ngram_jaccard"])
+def test_queries_match_sql(spark, name):
+    import duckdb
+
+    import __spark_entry__
+
+    db = duckdb.connect()
+    for table in ("documents", "conversations"):
+        db.execute(f"create view {table} as select * from '{SMALL}/{table}.parquet'").fetchall()
+    df = __spark_entry__.queries()[name](spark, SMALL)
+    got = db.execute(__spark_entry__.oracle_sql()[name])
+    names = [d[0] for d in got.description]
+    assert sorted(names) == sorted(df.columns)
+    assert collected(df.select(*names)) == sorted(got.fetchall(), key=str)
+
+
+def test_queries_run_on_whole_tables(spark):
+    """Every other operator's query, on a test table, against the plain versions above."""
+    import __spark_entry__
+
+    queries = __spark_entry__.queries()
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    enc = encoding()
+    found = {r.doc_id: r for r in queries["op1_byte_bpe"](spark, SMALL).collect()}
+    assert len(found) == len(docs) and all(found[i].ids_sha256 == hashlib.sha256(" ".join(map(str, enc.encode_ordinary(t or ""))).encode()).hexdigest() and found[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest() for i, t in docs)
+    found = {r.doc_id: r for r in queries["op2_secret_scan"](spark, SMALL).collect()}
+    kinds = ("assign", "access", "hex")
+    for i, t in docs:
+        base = ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in base_spans(t or ""))
+        assert found[i].base_sha256 == hashlib.sha256(base.encode()).hexdigest() and ",".join(x for x in found[i].spans.split(",") if not x.startswith("random")) == base
+    found = {r.doc_id: r for r in queries["op3_quality_rules"](spark, SMALL).collect()}
+    for i, t in docs:
+        n, chars, symbols, lines, repeats = counts_of(t)
+        r = found[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == (n, chars, symbols, lines, repeats, n < 10 or 100 * repeats > 20 * n) and not (r.kept and r.base_failed)
+    rows = queries["op8_token_files"](spark, SMALL).orderBy("doc_id").collect()
+    assert [r.doc_id for r in rows] == sorted(i for i, _ in docs) and [r.start for r in rows] == [sum(x.n_tokens for x in rows[:k]) for k in range(len(rows))]
+    pages = queries["op9_html_text"](spark, SMALL).collect()
+    assert len(pages) == 50 and all(r.n_chars == len(r.text) > 0 and "<" not in r.text for r in pages)
+    taken = queries["op10_mix_sources"](spark, SMALL).collect()
+    assert len(taken) == len(docs) and all(r.taken <= 3 * r["size"] for r in taken)
+
+
+def test_recall_of_the_query(spark):
+    import __spark_entry__
+
+    rows = spark.read.parquet(f"{SMALL}/embeddings.parquet").collect()
+    ids, vectors = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    found = defaultdict(set)
+    for r in __spark_entry__.queries()["op7_hash_prefix_forest"](spark, SMALL).collect():
+        found[r.query_id].add(r.vec_id)
+    hits = 0
+    for at in np.flatnonzero(ids % 20 == 0):
+        scores = vectors @ vectors[at]
+        scores[at] = -np.inf
+        hits += len(found[ids[at]] & set(ids[np.lexsort((ids, -scores))[:20]].tolist()))
+    assert hits >= 0.9 * 20 * (ids % 20 == 0).sum()

@@ -85,5 +85,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Operators of which SQL can express every column. The others' methods (encodings, randomness, compression, hashing) are
+#: beyond it: tests hold them against brute-force versions.
+ORACLES = {
+    "op4_chat_format": r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '<|im_end|><|im_start|>assistant ok' FROM range(2) t(i))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(24 + length(role) + length(text) + len(regexp_extract_all(text, '<\\*\|')) + len(regexp_extract_all(role, '<\\*\|'))) AS BIGINT) AS formatted_chars, CAST(0 AS BIGINT) AS n_attachments, CAST(0 AS BIGINT) AS extra_tokens
+FROM c GROUP BY conv_id""",
+    "op5_suffix_dedup": """WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, i, md5(hex(b[i + 1 : i + 200])) AS h FROM (SELECT doc_id, b, unnest(range(octet_length(b) - 199)) AS i FROM d WHERE octet_length(b) >= 200)),
+twice AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1), r AS (SELECT doc_id, i FROM w SEMI JOIN twice USING (h)),
+g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER o + 200 THEN 0 ELSE 1 END AS fresh FROM r WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS z FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g) GROUP BY doc_id, run),
+k AS (SELECT doc_id, coalesce(lag(z) OVER o, 0) AS a, a AS z FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY a) UNION ALL SELECT doc_id, coalesce(max(z), 0), octet_length(any_value(b)) FROM d LEFT JOIN s USING (doc_id) GROUP BY doc_id),
+t AS (SELECT doc_id, sum(z - a) AS removed, count(*) AS spans FROM s GROUP BY doc_id), kept AS (SELECT doc_id, unhex(string_agg(hex(b[a + 1 : z]), '' ORDER BY a)) AS b FROM k JOIN d USING (doc_id) WHERE z > a GROUP BY doc_id)
+SELECT doc_id, CAST(octet_length(d.b) AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(coalesce(kept.b, ''::BLOB)) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op6_ngram_jaccard": rf"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(words) >= 5 THEN list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i : i + 4], ' '))) WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * shared >= 75 * (nx.n + ny.n - shared)), ab AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+reach AS (SELECT x AS node, y AS other FROM ab UNION SELECT reach.node, ab.y FROM reach JOIN ab ON reach.other = ab.x), c AS (SELECT node, min(other) AS least FROM reach GROUP BY node)
+SELECT documents.doc_id, coalesce(n, 0) AS n_shingles, least(documents.doc_id, coalesce(least, documents.doc_id)) AS component_id FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.node = documents.doc_id""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
