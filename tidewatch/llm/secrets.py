@@ -195,9 +195,9 @@ def grid_point(run: Column) -> Column:
     return let(let(F.regexp_replace(run, "=+$", ""), core), described)
 
 
-def with_candidates(df: DataFrame, text: str) -> DataFrame:
-    spans = df.withColumn("__candidates", found(F.coalesce(F.col(text), F.lit("")), CANDIDATE))
-    return spans.withColumn("__candidates", F.transform("__candidates", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), grid_point(x["match"]).alias("test"))))
+def with_candidates(df: DataFrame, text: str, into: str = "__candidates") -> DataFrame:
+    spans = df.withColumn(into, found(F.coalesce(F.col(text), F.lit("")), CANDIDATE))
+    return spans.withColumn(into, F.transform(into, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), grid_point(x["match"]).alias("test"))))
 
 
 def limits(df: DataFrame, text: str = "text", rate: float = RATE) -> dict[int, int]:
@@ -219,7 +219,8 @@ def scan(df: DataFrame, text: str = "text", rate: float = RATE) -> DataFrame:
     """
     least = limits(df, text, rate)
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = with_candidates(df.drop("secrets"), text)
+    tested = "__candidates_" + "_" * max(map(len, df.columns))  # longer than any column's name
+    rows = with_candidates(df.drop("secrets"), text, tested)
     random = F.lit(False)
 
     def is_random(x: Column) -> Column:
@@ -231,14 +232,9 @@ def scan(df: DataFrame, text: str = "text", rate: float = RATE) -> DataFrame:
     def kind(spans: Column, i: int) -> Column:
         return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(i).alias("kind"), x["end"].alias("end")))
 
-    return (
-        rows.withColumn("__assign", found(body, ASSIGN))
-        .withColumn("__access", found(body, ACCESS))
-        .withColumn("__hex", found(body, HEX))
-        .withColumn("__assign", F.filter("__assign", lambda x: F.length(F.regexp_extract(x["match"], ASSIGN, 2)) >= 12))
-        .withColumn("secrets", F.array_sort(F.concat(kind(F.col("__assign"), 0), kind(F.col("__access"), 1), kind(F.col("__hex"), 2), kind(F.filter("__candidates", is_random), 3))))
-        .drop("__assign", "__access", "__hex", "__candidates")
-    )
+    assigned = F.filter(found(body, ASSIGN), lambda x: F.length(F.regexp_extract(x["match"], ASSIGN, 2)) >= 12)
+    spans = F.concat(kind(assigned, 0), kind(found(body, ACCESS), 1), kind(found(body, HEX), 2), kind(F.filter(tested, is_random), 3))
+    return rows.withColumn("secrets", F.array_sort(spans)).drop(tested)
 
 
 def spelled(spans: Column) -> Column:
@@ -255,14 +251,20 @@ def digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 
 def redact(df: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
-    """`df` with every secret in `text` replaced by `mark`; overlapping spans give one mark. A null text stays null."""
-    rows = scan(df, text)
+    """`df` with every secret in `text` replaced by `mark`; overlapping spans give one mark. A null text stays null.
+
+    Rows that repeat stay, and every other column is as it was, whatever its name. An empty table gives none.
+    """
+    spans = "__secrets_" + "_" * max(map(len, df.columns))
+    found_ = scan(df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(text).alias("text")), "text").withColumnRenamed("secrets", spans)
+    rows = found_.select("row", F.col("text").alias("__text"), spans)
     first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(a: Column, x: Column) -> Column:
         fresh = x["start"] >= a["at"]
-        piece = F.concat(F.col(text).substr(a["at"] + 1, x["start"] - a["at"]), F.lit(mark))
+        piece = F.concat(F.col("__text").substr(a["at"] + 1, x["start"] - a["at"]), F.lit(mark))
         return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.when(fresh, F.concat(a["out"], F.array(piece))).otherwise(a["out"]).alias("out"))
 
-    done = F.aggregate("secrets", first, step, lambda a: F.concat(F.array_join(a["out"], ""), F.col(text).substr(a["at"] + 1, F.length(text))))
-    return rows.withColumn(text, F.when(F.size("secrets") > 0, done).otherwise(F.col(text))).drop("secrets")
+    done = F.aggregate(spans, first, step, lambda a: F.concat(F.array_join(a["out"], ""), F.col("__text").substr(a["at"] + 1, F.length("__text"))))
+    clean = F.when(F.size(spans) > 0, done).otherwise(F.col("__text"))
+    return rows.select(*((clean if c == text else F.col("row").getField(c)).alias(c) for c in df.columns))
