@@ -221,6 +221,54 @@ def test_noise_of_every_length(spark):
     assert not [(r.size, r.whole_ratio) for r in found if r.kind == "prose" and not r.kept and not r.base_failed]
 
 
+def test_both_sides_of_every_band():
+    for at, (least, low, high, other) in enumerate(quality.BANDS):
+        most = quality.BANDS[at + 1][0] - 1 if at + 1 < len(quality.BANDS) else 10**7
+        for n in (least, most):
+            assert not quality.outside(n, low) and quality.outside(n, low - 1e-6) and not quality.outside(n, high) and quality.outside(n, high + 1e-6)
+            assert not quality.outside(n, other, True) and quality.outside(n, other + 1e-6, True)
+    assert not quality.outside(quality.BANDS[0][0] - 1, 0.001) and not quality.outside(quality.BANDS[0][0] - 1, 5.0)
+
+
+def test_templates_and_chunks(spark):
+    """Lines of one template repeat no five words, but compress away; a text fails if most of its chunks do."""
+    rng = random.Random(6)
+    vocabulary = [a + b + c for a in "b d f g k l m n p r s t".split() for b in "aeiou" for c in ("n", "r", "st", "ck", "ll", "nd")]
+    prose = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n // 4))[:n]
+    template = lambda n: "".join(f"total net price amount {x} " for x in rng.sample(range(1000, 9999), n // 28 + 1))[:n]
+    sizes = (450, 800, 1200, 1800, 3000, 6000, 30_000)
+    rows = [("template", n, template(n)) for n in sizes] + [("prose", n, prose(n)) for n in (210, 300, *sizes)]
+    half = "".join(prose(4096 - 1) + " " for _ in range(4))
+    rows += [("most", 0, half[: 3 * 4096] + template(5 * 4096)), ("few", 0, half + template(2 * 4096))]
+    found = quality.rate(spark.createDataFrame(rows, "kind string, size int, text string")).collect()
+    assert [(r.kind, r.size, r.whole_ratio) for r in found if r.kind == "template" and (r.kept or r.base_failed)] == []
+    assert [(r.kind, r.size, r.whole_ratio) for r in found if r.kind == "prose" and not r.kept] == []
+    kept = {r.kind: (r.base_failed, r.kept, r.chunks_out) for r in found if not r.size}
+    assert kept == {"most": (False, False, 5), "few": (False, True, 2)}
+
+
+def test_quality_of_awkward_tables(spark, empty):
+    assert quality.rate(empty).count() == 0
+    clash = spark.createDataFrame([("a b " * 40_000, 1, "x"), ("a b " * 40_000, 1, "x"), (None, 2, "y")], "text string, kept int, n_words string")
+    found = quality.rate(clash).collect()
+    assert [(r.n_words, r.kept) for r in found] == [(80_000, False), (80_000, False), (0, False)] and quality.keep_good(clash).columns == clash.columns
+    long = " ".join(f"w{i * 7919 % 100_003}" for i in range(300_000))
+    r = quality.rate(spark.createDataFrame([(long,)], "text string")).first()
+    assert (r.n_words, r.n_repeat_words) == counts_of(long)[0:5:4]
+
+
+# 2 again: tables
+
+
+def test_secrets_of_awkward_tables(spark):
+    rows = [("token = abcdefghijkl0", 1, "x")] * 2 + [(None, None, None), ("x" * 300_000 + " secret:" + "Ab1" * 5, 2, "y")]
+    df = spark.createDataFrame(rows, "text string, secrets int, __candidates string")
+    found = secrets.scan(df).collect()
+    assert sorted(len([s for s in r.secrets if s.kind < 3]) for r in found) == [0, 1, 1, 1]
+    clean = secrets.redact(df)
+    assert sorted(clean.columns) == sorted(df.columns) and clean.filter("text like '%[secret]%'").count() == 3 and [r.secrets for r in clean.filter("text is null").collect()] == [None]
+
+
 # 4: chat
 
 
@@ -310,6 +358,9 @@ def test_suffix_dedup(docs, empty, span, core):
     got = found.collect()
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == sorted(expected, key=str)
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in got)
+    # many small families, and other columns
+    small = suffixes.remove_repeats(df.withColumns({"core": F.lit(1), "piece": F.lit("x"), "removed": F.lit(0)}), span=span, core=core, most=50)
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in small.collect()), key=str) == sorted(expected, key=str)
     assert suffixes.remove_repeats(empty).count() == 0
 
 

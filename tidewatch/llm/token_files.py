@@ -135,12 +135,14 @@ class Reader:
 class Encoder:
     """The tokenizers library's ids; it encodes each distinct pre-token once, and as a whole each text that holds one of its added tokens."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ordinary: bool = False):
+        """`ordinary`: strings of added tokens are ordinary text, in place of the library's default."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenizer.encode_special_tokens = ordinary
+        self.added = [] if ordinary else [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.table = WordTable(self.ids_of)
 
     def ids_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
