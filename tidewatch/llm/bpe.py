@@ -25,9 +25,34 @@ from pyspark.sql import types as T
 from tidewatch.llm.arrays import RollingHash, U64, mix, slices, spread, tidy
 from tidewatch.llm.pretokens import WordTable
 
-#: Each round contracts, in every word, the pair of least rank: all its places from the left where no
-#: contraction makes a pair of lower rank ("calm"), else the leftmost place. A pair is packed as rank, then place.
+#: Each round contracts the leftmost pair of least rank in every word. For pieces of up to CUT_BYTES, with word, place
+#: and rank packed into one number each.
 ENCODE = """
+with recursive contracted(word, pos, tok, done) as (
+  select word, pos, tok, false from words
+  union all (
+    with near as (
+      select word, pos, tok,
+        lead(word) over next as next_word, lead(pos) over next as next_pos, lead(tok) over next as next_tok
+      from contracted where not done
+      window next as (order by (word << 20) | pos)
+    ), paired as (
+      select n.word, n.pos, n.tok,
+        case when n.next_word = n.word then (m.tok::bigint << 40) | (n.pos << 20) | n.next_pos end as pair
+      from near n left join merges m on m.pair = (n.tok << 20) | n.next_tok
+    ), least_pair as (
+      select word, min(pair) as best from paired group by word
+    )
+    select word, pos, case when pos = (best >> 20) & 1048575 then best >> 40 else tok end, best is null
+    from paired join least_pair using (word)
+    where best is null or pos <> best & 1048575
+  )
+)
+select word, pos, tok from contracted where done order by word, pos
+"""
+#: The same result in fewer rounds, for longer pieces: a round contracts the pair of least rank at all its places from the
+#: left, where no contraction makes a pair of lower rank ("calm"), else at the leftmost. A pair is packed as rank, then place.
+ENCODE_LONG = """
 with recursive contracted(word, pos, tok, done) as (
   select word, pos, tok, false from words
   union all (
@@ -139,13 +164,18 @@ class BytePairDB:
         source = np.arange(len(raw))  # where each piece's ids start in the parts joined
         rest, total = np.flatnonzero(whole < 0), len(raw)
         lengths = np.array([len(raw[i]) for i in rest], np.int64)
+        short = lengths <= CUT_BYTES
+        rest, lengths, turn = np.concatenate([rest[short], rest[~short]]), np.concatenate([lengths[short], lengths[~short]]), int(short.sum())
         while len(rest):
             n = max(1, int(np.searchsorted(np.cumsum(lengths), QUERY_ROWS, side="right")))
+            if turn > 0:
+                n = min(n, turn)
+            query, turn = ENCODE if turn > 0 else ENCODE_LONG, turn - n
             group, size, rest, lengths = rest[:n], lengths[:n], rest[n:], lengths[n:]
             got = self._query(
-                ENCODE,
+                query,
                 "words",
-                pa.table({"word": np.repeat(np.arange(n, dtype=np.int32), size), "pos": spread(np.zeros(n, np.int64), size), "tok": self.byte_ids[np.frombuffer(b"".join(raw[i] for i in group), np.uint8)].astype(np.int64)}),
+                pa.table({"word": np.repeat(np.arange(n), size), "pos": spread(np.zeros(n, np.int64), size), "tok": self.byte_ids[np.frombuffer(b"".join(raw[i] for i in group), np.uint8)].astype(np.int64)}),
             )
             counts[group] = each = np.bincount(got.column("word").to_numpy(), minlength=n)
             source[group] = total + np.cumsum(each) - each
