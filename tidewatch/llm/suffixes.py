@@ -7,7 +7,7 @@ CORE + 2) of all places are anchors. A window can only recur where its anchor's
 
 1. Pieces are counted by (core, piece) hashes, first within each slice, then over all texts.
    Cores that occur once are done. Of the others, one copy of each different piece goes on.
-2. Pieces are dealt and ordered by core. Each task takes them batch by batch: the windows of a batch become
+2. Pieces are dealt by core, to as many tasks as their number asks for. Each task takes them batch by batch: the windows of a batch become
    a suffix array (suffixes in order of the fingerprint of their first SPAN bytes, the only
    order the search needs), which is merge-scanned against the arrays of all levels so far;
    equals on either side are marked. Then it becomes a level, and levels of like size merge,
@@ -33,8 +33,8 @@ from tidewatch.llm.shared import discard, stored
 
 SPAN, CORE = 200, 48
 FILTER_BITS = 1 << 26
-#: Places that fit beside a hash in a 64-bit word; windows that are taken at once.
-PLACE_BITS, MOST = 24, 8 << 20
+#: Places that fit beside a hash in a 64-bit word; windows that are taken at once, and that a task's family is to hold.
+PLACE_BITS, MOST = 24, 4 << 20
 
 
 def least_in_window(x: np.ndarray, width: int) -> np.ndarray:
@@ -184,16 +184,30 @@ def recurring(found: DataFrame) -> DataFrame:
     return kinds.withColumn("all", F.sum("copies").over(Window.partitionBy("core"))).filter("all > 1").select("core", "piece", "copies", "at.row", "at.start", "at.n")
 
 
-def repeated_windows(texts: DataFrame, span: int = SPAN, most: int = MOST) -> DataFrame:
+def repeated_windows(texts: DataFrame, tasks: int, span: int = SPAN) -> DataFrame:
     """(core, piece, spans) of (core, piece, copies, bytes): the windows of each piece that recur, as runs first..last.
 
-    Pieces come ordered by core. A family serves whole cores only, as equal windows have equal
-    cores, and a new one begins at the next core once it holds `most` suffixes: a task's memory
-    is bounded by that and by one core's pieces, whatever the partition holds.
+    `tasks` bounds what a family holds, but for the pieces of one core, which are in one task.
     """
 
-    def verdict(family: SuffixFamily, held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        core, name, copied, size = (np.concatenate(x) for x in zip(*held, strict=True))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        family = SuffixFamily()
+        cores, names, whole, sizes, total = [], [], [], [], 0
+        for batch in batches:
+            for part in slices(batch, "bytes"):
+                raw, offsets = utf8(part.column("bytes"))
+                n = np.diff(offsets) - span + 1
+                at = spread(offsets[:-1], n)
+                keys = mix(RollingHash(byte_table()[raw]).windows(span))[at]
+                family.add(keys, (total + np.repeat(np.arange(len(n)), n)).astype(np.int32), (at - np.repeat(offsets[:-1], n)).astype(np.int32))
+                cores.append(part.column("core").to_numpy())
+                names.append(part.column("piece").to_numpy())
+                whole.append(part.column("copies").to_numpy() > 1)
+                sizes.append(n)
+                total += len(n)
+        if not total:
+            return
+        core, name, copied, size = (np.concatenate(x) for x in (cores, names, whole, sizes))
         piece, first, last = runs(*family.repeated())
         alone = ~copied[piece]
         every = np.flatnonzero(copied)
@@ -209,35 +223,7 @@ def repeated_windows(texts: DataFrame, span: int = SPAN, most: int = MOST) -> Da
             values = pa.StructArray.from_arrays([pa.array(first[base:stop].astype(np.int32)), pa.array(last[base:stop].astype(np.int32))], ["first", "last"])
             yield pa.RecordBatch.from_arrays([pa.array(core[owner[a:b]]), pa.array(name[owner[a:b]]), pa.ListArray.from_arrays(bounds, values)], ["core", "piece", "spans"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, held, pieces_held, suffixes, last_core = SuffixFamily(), [], 0, 0, None
-        for batch in batches:
-            for part in slices(batch, "bytes"):
-                cores = part.column("core").to_numpy()
-                if suffixes >= most:
-                    fresh = np.flatnonzero(cores != last_core)
-                    cut = int(fresh[0]) if len(fresh) else part.num_rows
-                else:
-                    cut = part.num_rows
-                for group, ends_family in ((part.slice(0, cut), cut < part.num_rows), (part.slice(cut), False)):
-                    if group.num_rows:
-                        raw, offsets = utf8(group.column("bytes"))
-                        n = np.diff(offsets) - span + 1
-                        at = spread(offsets[:-1], n)
-                        keys = mix(RollingHash(byte_table()[raw]).windows(span))[at]
-                        family.add(keys, (pieces_held + np.repeat(np.arange(len(n)), n)).astype(np.int32), (at - np.repeat(offsets[:-1], n)).astype(np.int32))
-                        held.append((group.column("core").to_numpy(), group.column("piece").to_numpy(), group.column("copies").to_numpy() > 1, n))
-                        pieces_held += len(n)
-                        suffixes += len(at)
-                    if ends_family and held:
-                        yield from verdict(family, held)
-                        family, held, pieces_held, suffixes = SuffixFamily(), [], 0, 0
-                last_core = cores[-1]
-        if held:
-            yield from verdict(family, held)
-
-    dealt = texts.select("core", "piece", "copies", "bytes").repartition("core").sortWithinPartitions("core")
-    return dealt.mapInArrow(tidy(run), "core long, piece long, spans array<struct<first:int,last:int>>")
+    return texts.select("core", "piece", "copies", "bytes").repartition(tasks, "core").mapInArrow(tidy(run), "core long, piece long, spans array<struct<first:int,last:int>>")
 
 
 def merge_spans(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
@@ -255,7 +241,8 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", span:
     `removed` has the maximal runs of bytes of the UTF-8 text that some string of `span` bytes
     covers which also starts anywhere else in the column. Null and empty texts have no bytes.
     Rows that repeat are removed whole, if they have `span` bytes. Texts may have any length; other
-    columns of `df` don't matter, and an empty table gives none. `most`: suffixes of one family.
+    columns of `df` don't matter, and an empty table gives none. `most`: suffixes that
+    a task's family is to hold.
     """
     spark = df.sparkSession
     rows = df.select(F.xxhash64(key, text).alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
@@ -272,7 +259,9 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", span:
     sources = long_enough.mapInArrow(tidy(only), "row long, text string").join(cuts, "row")
     sources = sources.select(F.encode("text", "utf-8").alias("bytes"), F.explode("cuts").alias("c"))
     texts = sources.select("c.core", "c.piece", "c.copies", F.substring("bytes", F.col("c.start") + 1, F.col("c.n") + span - 1).alias("bytes"))
-    verdicts = stored(repeated_windows(texts, span, most), "windows")
+    windows = kinds.agg(F.sum("n")).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-windows // most))
+    verdicts = stored(repeated_windows(texts, tasks, span), "windows")
     # back to every text that holds the piece
     cores = spark.sparkContext.broadcast(bit_map(verdicts, "core"))
     found = listed(long_enough, cores, span, core).select("core", "piece", "row", "start").join(verdicts, ["core", "piece"])
