@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.plans.storage import stored
 
-#: Links that one task joins into a forest.
-TASK_LINKS = 1_000_000
+#: Links that one task joins into a forest; tasks that share the links of one node.
+TASK_LINKS, SHARES = 1_000_000, 16
 
 
 def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,7 +59,8 @@ def connected_components(links: DataFrame, task_links: int = TASK_LINKS) -> Data
     a, b = links.columns
     links = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a is not null and b is not null")
     tasks = max(1, -(-links.count() // task_links))
-    local = links.repartition(tasks, "a").mapInArrow(forest, "node long, root long")
+    # a hub's links go to SHARES tasks, so that no node's links are one task's
+    local = links.repartition(tasks, "a", F.pmod(F.xxhash64("b"), F.lit(SHARES))).mapInArrow(forest, "node long, root long")
     if tasks == 1:
         return stored(local, "components")
     local = stored(local, "forests")
