@@ -156,13 +156,13 @@ def held_in(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def listed(rows: DataFrame, bits=None, span: int = SPAN, core: int = CORE) -> DataFrame:
-    """Pieces of (row, text). Without `bits`: one of each kind in a slice and their number; with it: all whose core is in the map."""
+    """Pieces of (row, check, text). Without `bits`: one of each kind in a slice and their number; with it: all whose core is in the map."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 text, head, piece, start, n = pieces(*utf8(part.column("text")), span, core)
-                row = part.column("row").to_numpy()
+                row, check = part.column("row").to_numpy(), part.column("check").to_numpy()
                 if bits is None:
                     order = np.lexsort((piece, head))
                     first = np.flatnonzero(np.append(True, (head[order][1:] != head[order][:-1]) | (piece[order][1:] != piece[order][:-1]))) if len(order) else order
@@ -171,17 +171,17 @@ def listed(rows: DataFrame, bits=None, span: int = SPAN, core: int = CORE) -> Da
                 else:
                     pick = np.flatnonzero(held_in(bits.value, head))
                     count = np.ones(len(pick), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(head[pick].view(np.int64)), pa.array(piece[pick].view(np.int64)), pa.array(row[text[pick]]), pa.array(start[pick].astype(np.int32)), pa.array(n[pick].astype(np.int32)), pa.array(count.astype(np.int32))], ["core", "piece", "row", "start", "n", "copies"])
+                yield pa.RecordBatch.from_arrays([pa.array(head[pick].view(np.int64)), pa.array(piece[pick].view(np.int64)), pa.array(row[text[pick]]), pa.array(check[text[pick]]), pa.array(start[pick].astype(np.int32)), pa.array(n[pick].astype(np.int32)), pa.array(count.astype(np.int32))], ["core", "piece", "row", "check", "start", "n", "copies"])
 
-    return rows.mapInArrow(tidy(run), "core long, piece long, row long, start int, n int, copies int")
+    return rows.mapInArrow(tidy(run), "core long, piece long, row long, check long, start int, n int, copies int")
 
 
 def recurring(found: DataFrame) -> DataFrame:
     """One of each kind of piece whose core occurs twice or more, with the number of its copies."""
     from pyspark.sql import Window
 
-    kinds = found.repartition("core").groupBy("core", "piece").agg(F.sum("copies").alias("copies"), F.min(F.struct("row", "start", "n")).alias("at"))
-    return kinds.withColumn("all", F.sum("copies").over(Window.partitionBy("core"))).filter("all > 1").select("core", "piece", "copies", "at.row", "at.start", "at.n")
+    kinds = found.repartition("core").groupBy("core", "piece").agg(F.sum("copies").alias("copies"), F.min(F.struct("row", "check", "start", "n")).alias("at"))
+    return kinds.withColumn("all", F.sum("copies").over(Window.partitionBy("core"))).filter("all > 1").select("core", "piece", "copies", "at.row", "at.check", "at.start", "at.n")
 
 
 def repeated_windows(texts: DataFrame, tasks: int, span: int = SPAN) -> DataFrame:
@@ -245,8 +245,10 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", span:
     a task's family is to hold.
     """
     spark = df.sparkSession
-    rows = df.select(F.xxhash64(key, text).alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
-    long_enough = rows.filter(F.octet_length("text") >= span).select("row", "text")
+    # a text is known by 128 bits: two hashes over key and text
+    twice = (F.xxhash64(key, text).alias("row"), F.xxhash64(text, F.lit(17), key).alias("check"))
+    rows = df.select(*twice, F.col(key).alias("key"), F.col(text).alias("text"))
+    long_enough = rows.filter(F.octet_length("text") >= span).select("row", "check", "text")
     kinds = stored(recurring(listed(long_enough, None, span, core)), "pieces")
     # one copy of each kind, cut from its text
     wanted = spark.sparkContext.broadcast(bit_map(kinds, "row"))
@@ -255,8 +257,8 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", span:
         for batch in batches:
             yield batch.filter(pa.array(held_in(wanted.value, batch.column("row").to_numpy())))
 
-    cuts = kinds.groupBy("row").agg(F.collect_list(F.struct("core", "piece", "copies", "start", "n")).alias("cuts"))
-    sources = long_enough.mapInArrow(tidy(only), "row long, text string").join(cuts, "row")
+    cuts = kinds.groupBy("row", "check").agg(F.collect_list(F.struct("core", "piece", "copies", "start", "n")).alias("cuts"))
+    sources = long_enough.mapInArrow(tidy(only), "row long, check long, text string").join(cuts, ["row", "check"])
     sources = sources.select(F.encode("text", "utf-8").alias("bytes"), F.explode("cuts").alias("c"))
     texts = sources.select("c.core", "c.piece", "c.copies", F.substring("bytes", F.col("c.start") + 1, F.col("c.n") + span - 1).alias("bytes"))
     windows = kinds.agg(F.sum("n")).first()[0] or 0
@@ -264,8 +266,8 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", span:
     verdicts = stored(repeated_windows(texts, tasks, span), "windows")
     # back to every text that holds the piece
     cores = spark.sparkContext.broadcast(bit_map(verdicts, "core"))
-    found = listed(long_enough, cores, span, core).select("core", "piece", "row", "start").join(verdicts, ["core", "piece"])
-    spans = stored(found.groupBy("row").agg(F.collect_list(F.struct("start", "spans")).alias("found")), "spans")
+    found = listed(long_enough, cores, span, core).select("core", "piece", "row", "check", "start").join(verdicts, ["core", "piece"])
+    spans = stored(found.groupBy("row", "check").agg(F.collect_list(F.struct("start", "spans")).alias("found")), "spans")
     touched = spark.sparkContext.broadcast(bit_map(spans, "row"))
     discard(kinds, verdicts)
     base = T.StructType([df.select(F.col(key).alias("key")).schema[0]])
@@ -277,9 +279,9 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", span:
             digest = [None if x is None else hashlib.sha256(x).hexdigest() for x in whole]
             left = pa.array([x if kept else None for x in whole], pa.binary())
             text = pa.array(batch.column("text").to_pylist(), pa.string(), mask=~maybe)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("key"), pa.array([0 if x is None else len(x) for x in whole], pa.int64()), pa.array(digest, pa.string()), left, text], ["row", "key", "n_bytes", "digest", "left", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("check"), batch.column("key"), pa.array([0 if x is None else len(x) for x in whole], pa.int64()), pa.array(digest, pa.string()), left, text], ["row", "check", "key", "n_bytes", "digest", "left", "text"])
 
-    first = T.StructType([T.StructField("row", T.LongType()), base[0], *T.DataType.fromDDL("n_bytes long, digest string, left binary, text string")])
+    first = T.StructType([T.StructField("row", T.LongType()), T.StructField("check", T.LongType()), base[0], *T.DataType.fromDDL("n_bytes long, digest string, left binary, text string")])
     result = T.StructType([T.StructField(key, base[0].dataType), *T.DataType.fromDDL("n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:int,end:int>>" + ", kept binary" * kept)])
     run_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
@@ -302,4 +304,4 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", span:
             columns = [batch.column("key"), *(pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), run_type, pa.binary()), strict=True))]
             yield pa.RecordBatch.from_arrays(columns[: len(result)], result.names)
 
-    return rows.mapInArrow(tidy(untouched), first).join(spans, "row", "left").select("key", "n_bytes", "digest", "left", "text", "found").mapInArrow(tidy(removed), result)
+    return rows.mapInArrow(tidy(untouched), first).join(spans, ["row", "check"], "left").select("key", "n_bytes", "digest", "left", "text", "found").mapInArrow(tidy(removed), result)
