@@ -472,8 +472,12 @@ def compared(rows: DataFrame, hot, percent: int) -> DataFrame:
         rows = shingled = 0
         for batch in batches:
             for part in slices(batch, "text"):
+                values, ends, nodes = shingles(part, "text")
+                right = nodes == part.column("node").to_numpy()
+                if not right.all():  # texts whose row hashes collide
+                    part = part.filter(pa.array(right))
+                    values, ends, _ = shingles(part, "text")
                 columns = [part.column(c).to_numpy() for c in names]
-                values, ends, _ = shingles(part, "text")
                 n = np.diff(ends)
                 values, size = arranged(values, ends, classes, percent)
                 values >>= U64(64 - TOKEN_BITS)
