@@ -29,10 +29,12 @@ def new_folder(spark: SparkSession, kind: str) -> str:
 
 
 def stored(df: DataFrame, kind: str) -> DataFrame:
-    """The rows as Parquet in the shared folder: lineage ends there, lost executors cost nothing, and columns can be pruned."""
+    """The rows as Parquet in the shared folder: lineage ends there, lost executors cost nothing, and columns can be pruned. Deleted when the driver ends, if not before."""
     path = new_folder(df.sparkSession, kind)
     spark, schema = df.sparkSession, df.schema
     df.write.parquet(path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
     del df
     release(spark)
     out = spark.read.schema(schema).parquet(path)
