@@ -25,11 +25,19 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Delete a folder when the driver's JVM ends in an orderly way; results may read it lazily until then."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
 def stored(df: DataFrame, kind: str) -> DataFrame:
-    """The rows as Parquet in the shared folder: lineage ends there, and lost executors cost nothing."""
+    """The rows as Parquet in the shared folder: lineage ends there, and lost executors cost nothing. Deleted when the driver ends."""
     path = f"{shared_folder(df.sparkSession)}/{kind}-{uuid.uuid4().hex}"
     spark, schema = df.sparkSession, df.schema
     df.write.parquet(path)
+    delete_at_end(spark, path)
     del df
     gc.collect()
     return spark.read.schema(schema).parquet(path)
