@@ -1,5 +1,7 @@
 import datetime as dt
 import json
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -149,3 +151,35 @@ def test_sources_and_exports(spark, tmp_path):
     assert exports.restore(str(tmp_path / "b.zip"), str(tmp_path / "back")) == names
     with pytest.raises(FileExistsError):
         exports.restore(str(tmp_path / "b.zip"), str(tmp_path / "back"))
+
+
+def test_alike_in_many_chunks(spark, monkeypatch):
+    """Several chunks, more bigrams than columns, letters of four bytes, long runs of one letter; no row meets others in a shuffle of texts."""
+    from tidewatch.operators import alike
+
+    for name, value in {"CHUNK_ROWS": 30, "FILE_BYTES": 1500, "COLUMNS": 24, "SHARED": 8}.items():
+        monkeypatch.setattr(alike, name, value)
+    rng = random.Random(2)
+    bases = ["".join(rng.choices("abcdefgh", k=40)), "".join(rng.choices("漢字語文章", k=30)), "\U00020000\U00020001￿" * 9, "a" * 70_000, "b"]
+    texts = []
+    for i in range(60):
+        t = list(bases[i % 5])
+        for _ in range(i % 4):
+            t[rng.randrange(len(t))] = rng.choice("xyz漢")
+        texts.append("".join(t))
+    rows = [(i, f"s{i % 3}", t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "review_id long, shop_key string, normalized string")
+    grams = [Counter(t[i : i + 2] for i in range(max(1, len(t) - 1))) for t in texts]
+    dice = {(i, j): 2 * (grams[i] & grams[j]).total() / (grams[i].total() + grams[j].total()) for j in range(60) for i in range(j)}
+    for scope in (None, "same", "cross"):
+        expected = {k: d for k, d in dice.items() if d >= 0.85 and (scope is None or (k[0] % 3 == k[1] % 3) == (scope == "same"))}
+        found = sim.dice_pairs(df, 0.85, scope)
+        assert {(r.left_id, r.right_id): r.dice for r in found.collect()} == pytest.approx(expected) and len(expected) > 20
+        assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
+    root = list(range(60))
+    for _ in range(60):
+        for (i, j), d in dice.items():
+            if d >= 0.85:
+                root[i] = root[j] = min(root[i], root[j])
+    linked = {i for k, d in dice.items() if d >= 0.85 for i in k}
+    assert {r.review_id: r.component for r in sim.dice_members(df, 0.85).collect()} == {i: root[i] for i in linked}

@@ -18,11 +18,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tidewatch.functions.hashing import fingerprints
 from tidewatch.functions.text import HAN, normalized, without_phrases
 from tidewatch.functions.vectors import unit
+from tidewatch.operators.alike import alike, with_bigrams
 from tidewatch.operators.components import connected_components
-from tidewatch.plans.storage import stored
+from tidewatch.plans.storage import released, stored
 
-#: Rows of one block of a blocked self-join.
-BLOCK = 1024
+#: Rows of one block of a blocked self-join; of vectors, which meet in strips.
+BLOCK, VECTORS = 1024, 4096
 
 
 def eligible(df: DataFrame, text: str = "text", counted: str = HAN, least: int = 12, copies: int = 3, excluded: Column | None = None, phrases: list[str] = ()) -> DataFrame:
@@ -103,45 +104,23 @@ def dense(counts: list[dict[str, int]], place: dict[str, int]) -> np.ndarray:
 def dice_pairs(df: DataFrame, threshold: float, scope: str | None = None, key: str = "review_id", text: str = "normalized", shop: str = "shop_key") -> DataFrame:
     """(left_id, right_id, dice) of pairs whose bigram multisets have Dice >= threshold; left_id < right_id.
 
-    scope: "same" shop, "cross" for different shops, None for both. Exact: sizes bound Dice by
-    2 * min / (a + b), which picks the bands of blocks that meet. Empty texts match nothing.
+    scope: "same" shop, "cross" for different shops, None for both. Exact. Empty texts match nothing.
     """
     rows = df.filter(F.length(text) > 0).select(F.col(key).alias("id"), F.col(shop).alias("shop"), F.col(text).alias("t"))
-    kind = dict(rows.dtypes)["id"]
-    schema = f"left_id {kind}, right_id {kind}, dice double"
+    rows = stored(with_bigrams(rows, "t"), "texts")
+    found = alike(rows, threshold, (scope,)).select("left_id", "right_id", "dice")
+    released(rows)
+    return found
 
-    def score(left: pa.Table, right: pa.Table | None) -> pa.Table:
-        sides = [left] if right is None else [left, right]
-        counts = [gram_counts(x.column("t").to_pylist()) for x in sides]
-        place: dict[str, int] = {}
-        for side in counts:
-            for c in side:
-                for g in c:
-                    place.setdefault(g, len(place))
-        sparse = counts
-        m = [dense(c, place) for c in sparse]
-        n = [x.sum(axis=1) for x in m]
-        ids = [np.array(x.column("id").to_pylist(), object) for x in sides]
-        shops = [np.array(x.column("shop").to_pylist(), object) for x in sides]
-        out: list[tuple] = []
-        for i in range(len(m[0])):
-            start = i + 1 if right is None else 0
-            size = n[-1][start:]
-            ok = 2 * np.minimum(size, n[0][i]) >= threshold * (size + n[0][i])
-            if scope is not None:
-                ok &= (shops[-1][start:] == shops[0][i]) == (scope == "same")
-            at = np.flatnonzero(ok) + start
-            if len(at):
-                own = np.flatnonzero(m[0][i])
-                shared = np.minimum(m[-1][at][:, own], m[0][i][own]).sum(axis=1)
-                dice = 2 * shared / (n[-1][at] + n[0][i])
-                for j in np.flatnonzero(dice >= threshold):
-                    a, b = ids[0][i], ids[-1][at[j]]
-                    out.append((min(a, b), max(a, b), float(dice[j])))
-        left_id, right_id, dice = zip(*out, strict=True) if out else ((), (), ())
-        return pa.table({"left_id": pa.array(left_id, left.column("id").type), "right_id": pa.array(right_id, left.column("id").type), "dice": pa.array(dice, pa.float64())})
-
-    return blocked_self_join(rows, F.greatest(F.length("t") - 1, F.lit(1)), threshold / (2 - threshold), score, schema)
+
+def dice_members(df: DataFrame, threshold: float, key: str = "review_id", text: str = "normalized") -> DataFrame:
+    """(review_id, component): every text that dice_pairs() links to another, by component. Copies of a text link to the least of them; no pair is a row."""
+    rows = df.filter(F.length(text) > 0).select(F.col(key).alias("id"), F.lit("").alias("shop"), F.sha2(text, 256).alias("digest"), F.col(text).alias("t"))
+    rows = stored(with_bigrams(rows, "t"), "texts")
+    near = alike(rows, threshold, forest=True, copies=["digest"]).select(F.col("node").alias("left_id"), F.col("root").alias("right_id"))
+    found = members_of(near.unionByName(copy_links(rows.select("id", "digest"))))
+    released(rows)
+    return found
 
 
 def cosine_pairs(df: DataFrame, threshold: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -153,13 +132,17 @@ def cosine_pairs(df: DataFrame, threshold: float, key: str = "vec_id", vector: s
         other = left if right is None else right
         x, y = (np.array(t.column("v").to_pylist(), np.float64) for t in (left, other))
         a, b = (np.array(t.column("id").to_pylist()) for t in (left, other))
-        dots = np.clip(x @ y.T, -1, 1)
-        i, j = np.nonzero(dots >= threshold)
-        if right is None:
-            i, j = i[i < j], j[i < j]
-        return pa.table({"left_id": np.minimum(a[i], b[j]), "right_id": np.maximum(a[i], b[j]), "cosine": dots[i, j]})
+        found = []
+        for at in range(0, len(x), 256):  # a strip of products at a time
+            dots = np.clip(x[at : at + 256] @ y.T, -1, 1)
+            i, j = np.nonzero(dots >= threshold)
+            if right is None:
+                i, j = i[i + at < j], j[i + at < j]
+            found.append((a[i + at], b[j], dots[i, j]))
+        a, b, cosine = (np.concatenate(c) for c in zip(*found, strict=True))
+        return pa.table({"left_id": np.minimum(a, b), "right_id": np.maximum(a, b), "cosine": cosine})
 
-    return blocked_self_join(rows, None, 1.0, score, f"left_id {kind}, right_id {kind}, cosine double")
+    return blocked_self_join(rows, None, 1.0, score, f"left_id {kind}, right_id {kind}, cosine double", block=VECTORS)
 
 
 def dice_of(a: dict[str, int], b: dict[str, int]) -> float:
@@ -275,9 +258,13 @@ def admitted(lexical: Column, semantic: Column, short: Column, equal: Column, co
 
 def exact_links(df: DataFrame, key: str = "review_id", text: str = "normalized") -> DataFrame:
     """Links between texts that are equal: each to the least key of its copies, one row a copy."""
-    same = df.filter(F.col(text) != "").select(F.col(key).alias("id"), F.sha2(text, 256).alias("h"))
-    least = same.groupBy("h").agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1")
-    return same.join(least, "h").filter("id <> least").select(F.col("least").alias("left_id"), F.col("id").alias("right_id"))
+    return copy_links(df.filter(F.col(text) != "").select(F.col(key).alias("id"), F.sha2(text, 256).alias("digest")))
+
+
+def copy_links(rows: DataFrame) -> DataFrame:
+    """exact_links() of (id, digest)."""
+    least = rows.groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1")
+    return rows.join(least, "digest").filter("id <> least").select(F.col("least").alias("left_id"), F.col("id").alias("right_id"))
 
 
 def members_of(links: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import re
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,12 +33,35 @@ def delete_at_end(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)
 
 
-def stored(df: DataFrame, kind: str) -> DataFrame:
-    """The rows as Parquet in the shared folder: lineage ends there, and lost executors cost nothing. Deleted when the driver ends."""
+def stored(df: DataFrame, kind: str, parts: list[str] = ()) -> DataFrame:
+    """The rows as Parquet in the shared folder: lineage ends there, and lost executors cost nothing. Deleted when the driver ends. `parts`: columns that name folders."""
     path = f"{shared_folder(df.sparkSession)}/{kind}-{uuid.uuid4().hex}"
     spark, schema = df.sparkSession, df.schema
-    df.write.parquet(path)
+    df.write.partitionBy(*parts).parquet(path)
     delete_at_end(spark, path)
     del df
     gc.collect()
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def gathered(spark: SparkSession, frames: Iterator[DataFrame], schema: str, kind: str) -> DataFrame:
+    """The rows of one frame after another, as stored() has them; each frame is written before the next one is asked for."""
+    path = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    spark.createDataFrame([], schema).write.parquet(path)
+    delete_at_end(spark, path)
+    for df in frames:
+        df.write.mode("append").parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def released(df: DataFrame) -> None:
+    """Delete what stored() or gathered() wrote, and the shuffles that nothing refers to any more; `df` can't be read after that."""
+    context = df.sparkSession.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+    gc.collect()
+    context._jvm.System.gc()
