@@ -183,3 +183,17 @@ def test_alike_in_many_chunks(spark, monkeypatch):
                 root[i] = root[j] = min(root[i], root[j])
     linked = {i for k, d in dice.items() if d >= 0.85 for i in k}
     assert {r.review_id: r.component for r in sim.dice_members(df, 0.85).collect()} == {i: root[i] for i in linked}
+
+
+def test_analysis_by_dice_deals_no_texts_to_blocks(spark, monkeypatch):
+    from tidewatch.operators import insight
+
+    monkeypatch.setattr(sim, "blocked_self_join", None)
+    texts = ["a long enough review", "a long enough reviev", "a long enough review", "quite another text here", "ok", "ok", "ok"]
+    rows = [(i, f"s{i % 2}", t, 5.0, "", i, i) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "review_id long, shop_key string, text string, stars double, profile_url string, posted_day int, first_seen_seq long")
+    found = insight.analyze(df, at=insight.Thresholds(lexical=0.9, counted=r"\p{L}"), ratio=False)
+    got = {(r.scope, r.review_id, round(r.max_lexical, 4)) for r in found["members"].collect()}
+    near = round(2 * 15 / 32, 4)
+    assert got == {("same", 0, 1.0), ("same", 2, 1.0), ("cross", 0, near), ("cross", 1, near), ("cross", 2, near), *(("cross", i, 1.0) for i in (4, 5, 6))}
+    assert found["reviews"].count() == len(texts)
