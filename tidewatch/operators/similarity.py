@@ -18,7 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tidewatch.functions.hashing import fingerprints
 from tidewatch.functions.text import HAN, normalized, without_phrases
 from tidewatch.functions.vectors import unit
-from tidewatch.operators.alike import alike, with_bigrams
+from tidewatch.operators.alike import alike, each_alike, with_bigrams
 from tidewatch.operators.components import connected_components
 from tidewatch.plans.storage import released, stored
 
@@ -105,10 +105,11 @@ def dice_pairs(df: DataFrame, threshold: float, scope: str | None = None, key: s
     """(left_id, right_id, dice) of pairs whose bigram multisets have Dice >= threshold; left_id < right_id.
 
     scope: "same" shop, "cross" for different shops, None for both. Exact. Empty texts match nothing.
+    Pairs are found as they are read and stored nowhere.
     """
     rows = df.filter(F.length(text) > 0).select(F.col(key).alias("id"), F.col(shop).alias("shop"), F.col(text).alias("t"))
     rows = stored(with_bigrams(rows, "t"), "texts")
-    found = alike(rows, threshold, (scope,)).select("left_id", "right_id", "dice")
+    found = each_alike(rows, threshold, scope)
     released(rows)
     return found
 
