@@ -100,15 +100,16 @@ def gram_counts(texts: list[str]) -> list[dict[str, int]]:
     return out
 
 
-def dice_pairs(df: DataFrame, threshold: float, scope: str | None = None, key: str = "review_id", text: str = "normalized", shop: str = "shop_key") -> DataFrame:
+def dice_pairs(df: DataFrame, threshold: float, scope: str | None = None, key: str = "review_id", text: str = "normalized", shop: str = "shop_key", digits: int | None = None) -> DataFrame:
     """(left_id, right_id, dice) of pairs whose bigram multisets have Dice >= threshold; left_id < right_id.
 
     scope: "same" shop, "cross" for different shops, None for both. Exact. Empty texts match nothing.
-    Pairs are found as they are read and stored nowhere.
+    Pairs are found as they are read and stored nowhere. `digits`: those of the rounded Dice.
     """
     rows = df.filter(F.length(text) > 0).select(F.col(key).alias("id"), F.col(shop).alias("shop"), F.col(text).alias("t"))
+    rows = rows if scope is None else rows.filter("shop is not null")  # as in SQL, an unknown shop is neither the same nor another
     rows = stored(with_bigrams(rows, "t"), "texts")
-    found = each_alike(rows, threshold, scope)
+    found = each_alike(rows, threshold, scope, digits)
     released(rows)
     return found
 
